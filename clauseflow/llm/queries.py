@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import quality_classifier, sharding
+from . import ngram_join, quality_classifier, sharding
 from .common import table
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(ship(spark), sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(ship(spark), sf_dir, "documents"))
 
@@ -21,8 +25,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op5_quality_classifier)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_sharding, op5_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle_sql()}
+    return {"op2_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op3_sharding": sharding.oracle_sql()}
