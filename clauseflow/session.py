@@ -22,6 +22,8 @@ def ship(spark: SparkSession) -> SparkSession:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(path)
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; a batch of that many documents is tens of MB
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         _SHIPPED.add(sc.applicationId)
     return spark
 
