@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,6 +18,21 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the machine: workers live on between tasks, and several share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,6 +52,7 @@ def scratch(df: DataFrame, what: str) -> DataFrame:
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
     hadoop.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    forget(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +83,8 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
             hi = max(lo + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch
+        trim()
 
 
 def col_of(df: DataFrame, name: str, kind: str) -> Column:

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import discard, narrowed, pieces, scratch, small_side
+from .common import discard, narrowed, pieces, scratch, small_side, trim
 from .components import components
 
 N, THRESHOLD = 3, 0.5
-FRAGMENT = 4_000_000  # postings in a fragment, by intent
+FRAGMENT = 2_000_000  # postings in a fragment, by intent
 MAX_FRAGMENTS = (1 << 19) - 1
 LOW = np.uint64((1 << 40) - 1)
 
@@ -156,6 +156,8 @@ def _share(key: tuple, t: pa.Table) -> pa.Table:
     n = len(cut)
     mine = who[cut]
     five = np.frombuffer(packed(grams), np.uint8)
+    del o, at, of, frequency, many
+    trim()
     return pa.table({"doc_id": none(n, pa.int64()), "sig": pa.array(sig[mine]), "size": pa.array(size[mine]), "shared": pa.array(np.diff(np.append(cut, len(who))).astype(np.int32)), "fragment": pa.array(np.full(n, key[0].as_py(), np.int32)), "grams": _blobs(five, cut, 5), "classes": _blobs(classes, cut, 1)})
 
 
@@ -244,6 +246,8 @@ def _find_candidates(t: float):
             if sum(map(len, held)) > 8_000_000:
                 found, held = np.unique(np.concatenate([found, *held])), []
         found = np.unique(np.concatenate([found, *held]))
+        del o, held
+        trim()
         return pa.table({"a": pa.array(names[found // max(1, len(names))]), "b": pa.array(names[found % max(1, len(names))])})
 
     return candidates
@@ -310,10 +314,13 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, fragment: in
     shared = scratch(docs.mapInArrow(_emit_postings(n, fragments), _POSTINGS).groupBy("fragment").applyInArrow(_share, _SHARED), "shared")
     who = shared.where("doc_id is not null").select("doc_id", "sig", "size").distinct()
 
+    segments = shared.where("doc_id is null")
+    # counts travel first, and the n-grams of those sets alone that can still reach the threshold
+    alive = segments.groupBy("sig").agg(F.first("size").alias("size"), F.sum("shared").alias("total")).where(F.col("total") >= t * F.col("size") - 1e-6)
+    alive = small_side(scratch(alive.select("sig"), "alive"), 16)
     sets = (
-        shared.where("doc_id is null").groupBy("sig")
-        .agg(F.first("size").alias("size"), F.sum("shared").alias("total"), F.collect_list(F.struct("fragment", "grams", "classes")).alias("segments"))
-        .where(F.col("total") >= t * F.col("size") - 1e-6).select("sig", "size", "segments")
+        segments.join(alive, "sig", "left_semi").groupBy("sig")
+        .agg(F.first("size").alias("size"), F.collect_list(F.struct("fragment", "grams", "classes")).alias("segments"))
     )
     sets = scratch(sets.mapInArrow(_sort_sets, "sig long, size int, keys binary"), "sets")
 

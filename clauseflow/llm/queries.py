@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontamination, mixing, ngram_join, quality_classifier, sharding
+from . import decontamination, html_extract, mixing, ngram_join, outliers, quality_classifier, secret_scan, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -33,8 +33,32 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.find_toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(ship(spark), sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.flag_outliers(table(ship(spark), sf_dir, "documents"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(ship(spark), sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_content(table(ship(spark), sf_dir, "pages"))
+
+
+_ALL = (op1_mixing, op2_ngram_jaccard_join, op3_sharding, op4_benchmark_decontamination, op5_quality_classifier, op6_toxicity, op7_token_counts, op8_quality_rules, op9_secret_scans, op10_html_extraction)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_jaccard_join, op3_sharding, op4_benchmark_decontamination, op5_quality_classifier)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -114,9 +114,11 @@ def secrets_in(texts: pa.Array, bits: float = BITS_A_SIGN, identifiers: bytes =
     if not len(row):
         return
     raw = data.tobytes()
+    before = 0
     for r, lo, hi in zip(row.tolist(), start.tolist(), end.tolist()):
         first, last = int(offsets[r]), int(offsets[r + 1])
-        head = raw[max(first, lo - BEFORE) : lo]
+        head = raw[max(first, lo - BEFORE, before) : lo]  # a context belongs to the candidate that follows it
+        before = hi
         lines = head.split(b"\n")
         whole = b"\n".join(lines[-2:])
         found = [m.group(1) for m in CONTEXT.finditer(whole)]
