@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "cross_policy_findings"
-MODULES = ["conflicts"]
+MODULES = ["conflicts", "ecosystem", "textual"]
 
 
 def _all() -> dict[str, tuple]:
