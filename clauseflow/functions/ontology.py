@@ -223,8 +223,15 @@ def mapped(column, of: dict, default=None):
 
 
 def frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A fixed table, marked for broadcast: none here grows with the data."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A fixed table as literal rows of the plan, marked for broadcast: none here grows with the data."""
+
+    def quoted(x):
+        return "NULL" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else repr(x)
+
+    columns = [c.strip().split(" ") for c in schema.split(",")]
+    body = ",".join("(" + ",".join(map(quoted, r)) + ")" for r in rows)
+    casts = ", ".join(f"CAST({c} AS {k}) AS {c}" for c, k in columns)
+    return F.broadcast(spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({', '.join(c for c, _ in columns)})"))
 
 
 def values(rows: list, columns: str) -> str:
