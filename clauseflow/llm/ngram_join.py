@@ -38,6 +38,7 @@ from .components import components
 
 N, THRESHOLD = 3, 0.5
 FRAGMENT = 2_000_000  # postings in a fragment, by intent
+PAIRS = 2_000_000  # candidate pairs counted at once, by intent
 MAX_FRAGMENTS = (1 << 19) - 1
 LOW = np.uint64((1 << 40) - 1)
 
@@ -111,8 +112,9 @@ def _emit_postings(n: int, fragments: int):
                 g0, g1 = at[lo], at[hi] if hi < len(at) else len(grams)
                 cols[0].append(int(f[lo]))
                 cols[1].append(sig[who[lo:hi]].tobytes())
-                cols[2].append(size[who[lo:hi]].astype(np.int32).tobytes())
-                cols[3].append(counts[lo:hi].astype(np.int32).tobytes())
+                cols[2].append(b"")
+                mine = counts[lo:hi]
+                cols[3].append(mine.astype(np.uint16 if mine.max() < 1 << 16 else np.int32).tobytes())
                 cols[4].append(packed(grams[g0:g1]))
             yield pa.record_batch([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["fragment", "sigs", "sizes", "counts", "grams"])
 
@@ -123,6 +125,12 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column]) if len(column) else np.zeros(0, kind)
 
 
+def _counts(t: pa.Table) -> np.ndarray:
+    """Lengths of the segments, two bytes each where all of a row's fit."""
+    parts = [np.frombuffer(c.as_buffer(), np.uint16 if len(c.as_buffer()) * 4 == len(s.as_buffer()) else np.int32).astype(np.int64) for s, c in zip(t.column("sigs"), t.column("counts"))]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _blobs(values: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
     """A binary column of slices of values' bytes, width a value, that start at `at`."""
     offsets = np.append(at, len(values) // width).astype(np.int64) * width
@@ -131,13 +139,14 @@ def _blobs(values: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
 
 def _share(key: tuple, t: pa.Table) -> pa.Table:
     """One fragment: its n-grams that are in two or more sets, by set. Rows of who has which set are passed on."""
-    sig, size = _joined(t.column("sigs"), np.int64), _joined(t.column("sizes"), np.int32)
+    sig = _joined(t.column("sigs"), np.int64)
     none = pa.nulls
     if key[0].as_py() < 0:
+        size = _joined(t.column("sizes"), np.int32)
         ids = _joined(t.column("counts"), np.int64)
         n = len(sig)
         return pa.table({"doc_id": pa.array(ids), "sig": pa.array(sig), "size": pa.array(size), "shared": none(n, pa.int32()), "fragment": none(n, pa.int32()), "grams": none(n, pa.binary()), "classes": none(n, pa.binary())})
-    counts = _joined(t.column("counts"), np.int32)
+    counts = _counts(t)
     grams = np.concatenate([unpacked(x.as_buffer()) for x in t.column("grams")])
     # equal sets have equal segments: the first stands for all
     _, once = np.unique(sig, return_index=True)
@@ -158,7 +167,7 @@ def _share(key: tuple, t: pa.Table) -> pa.Table:
     five = np.frombuffer(packed(grams), np.uint8)
     del o, at, of, frequency, many
     trim()
-    return pa.table({"doc_id": none(n, pa.int64()), "sig": pa.array(sig[mine]), "size": pa.array(size[mine]), "shared": pa.array(np.diff(np.append(cut, len(who))).astype(np.int32)), "fragment": pa.array(np.full(n, key[0].as_py(), np.int32)), "grams": _blobs(five, cut, 5), "classes": _blobs(classes, cut, 1)})
+    return pa.table({"doc_id": none(n, pa.int64()), "sig": pa.array(sig[mine]), "size": none(n, pa.int32()), "shared": pa.array(np.diff(np.append(cut, len(who))).astype(np.int32)), "fragment": pa.array(np.full(n, key[0].as_py(), np.int32)), "grams": _blobs(five, cut, 5), "classes": _blobs(classes, cut, 1)})
 
 
 def _keys(segments: list[dict]) -> np.ndarray:
@@ -254,24 +263,66 @@ def _find_candidates(t: float):
 
 
 def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set's segment in each of its block's vertical fragments."""
+    """Each set's segment in each of its block's vertical fragments, for each share of the block's pairs."""
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for block, cuts, sig, size, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "cuts", "sig", "size", "keys"))):
+        out: list[list] = [[] for _ in kinds]
+        for block, cuts, shares, sig, size, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "cuts", "shares", "sig", "size", "keys"))):
             keys = np.frombuffer(raw, np.uint64)
             part = (bs.mix(keys) >> np.uint64(32)) * np.uint64(cuts) >> np.uint64(32)
             for v in range(cuts):
-                mine = keys if cuts == 1 else keys[part == v]
-                for c, x in zip(out, (block, v, sig, size, mine.tobytes())):
-                    c.append(x)
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["block", "cut", "sig", "size", "keys"])
+                mine = (keys if cuts == 1 else keys[part == v]).tobytes()
+                for k in range(shares):
+                    for c, x in zip(out, (f"{block}/{v}/{k}", cuts == 1, sig, size, mine)):
+                        c.append(x)
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=["unit", "whole", "sig", "size", "keys"])
+
+
+_OVERLAPS = "a long, b long, size_a int, size_b int, overlap long, whole boolean"
+
+
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to the least node of each component within the partition's pairs."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[pa.RecordBatch] = []
+
+    def reduced(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        u, v = at[: len(a)], at[len(a) :]
+        label = np.arange(len(names))
+        while True:
+            low = np.minimum(label[u], label[v])
+            new = label.copy()
+            np.minimum.at(new, u, low)
+            np.minimum.at(new, v, low)
+            np.minimum.at(new, label[u], low)
+            np.minimum.at(new, label[v], low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        own = label != np.arange(len(names))
+        return names[own], names[label[own]]
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) > 1_000_000:
+            a, b = reduced(*(np.concatenate([x, *(h.column(k).to_numpy() for h in held)]) for x, k in ((a, "a"), (b, "b"))))
+            held = []
+    a, b = reduced(*(np.concatenate([x, *(h.column(k).to_numpy() for h in held)]) for x, k in ((a, "a"), (b, "b"))))
+    trim()
+    yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
 
-_OVERLAPS = "a long, b long, size_a int, size_b int, overlap long"
+def _count_overlaps(t: float):
+    def count(key: tuple, segments: pa.Table, pairs: pa.Table) -> pa.Table:
+        return _overlaps_of(segments, pairs, t)
 
+    return count
 
-def _count_overlaps(key: tuple, segments: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Partial overlaps of a block's candidate pairs within one vertical fragment."""
+
+def _overlaps_of(segments: pa.Table, pairs: pa.Table, t: float) -> pa.Table:
+    """Partial overlaps of a block's candidate pairs within one vertical fragment; of a block in one piece, those that reach t."""
     sig, size = segments.column("sig").to_numpy(), segments.column("size").to_numpy()
     blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in segments.column("keys")]
     lengths = np.array([len(x) for x in blobs], np.int64)
@@ -301,7 +352,14 @@ def _count_overlaps(key: tuple, segments: pa.Table, pairs: pa.Table) -> pa.Table
             overlap[k:j] = hit[end] - hit[end - n]
             k = j
         mark[own] = 0
-    return pa.table({"a": pa.array(sig[a]), "b": pa.array(sig[b]), "size_a": pa.array(size[a]), "size_b": pa.array(size[b]), "overlap": pa.array(overlap)})
+    whole = bool(segments.num_rows) and segments.column("whole")[0].as_py()
+    if whole:
+        union = size[a].astype(np.int64) + size[b] - overlap
+        keep = overlap / np.maximum(union, 1) >= t
+        a, b, overlap = a[keep], b[keep], overlap[keep]
+    del local, blobs, mark
+    trim()
+    return pa.table({"a": pa.array(sig[a]), "b": pa.array(sig[b]), "size_a": pa.array(size[a]), "size_b": pa.array(size[b]), "overlap": pa.array(overlap), "whole": pa.array(np.full(len(a), whole))})
 
 
 def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, fragment: int = FRAGMENT) -> tuple[DataFrame, DataFrame]:
@@ -312,17 +370,17 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, fragment: in
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = min(MAX_FRAGMENTS, max(1, math.ceil(chars / 6.5 / fragment)))
     shared = scratch(docs.mapInArrow(_emit_postings(n, fragments), _POSTINGS).groupBy("fragment").applyInArrow(_share, _SHARED), "shared")
-    who = shared.where("doc_id is not null").select("doc_id", "sig", "size").distinct()
+    who = scratch(shared.where("doc_id is not null").select("doc_id", "sig", "size").distinct(), "who")
 
     segments = shared.where("doc_id is null")
     # counts travel first, and the n-grams of those sets alone that can still reach the threshold
-    alive = segments.groupBy("sig").agg(F.first("size").alias("size"), F.sum("shared").alias("total")).where(F.col("total") >= t * F.col("size") - 1e-6)
-    alive = small_side(scratch(alive.select("sig"), "alive"), 16)
-    sets = (
-        segments.join(alive, "sig", "left_semi").groupBy("sig")
-        .agg(F.first("size").alias("size"), F.collect_list(F.struct("fragment", "grams", "classes")).alias("segments"))
-    )
+    totals = segments.groupBy("sig").agg(F.sum("shared").alias("total"))
+    alive = totals.join(who.select("sig", "size").distinct(), "sig").where(F.col("total") >= t * F.col("size") - 1e-6).select("sig", "size")
+    alive = small_side(scratch(alive, "alive"), 24)
+    parts = segments.drop("size").join(alive, "sig").select("sig", "size", F.struct("fragment", "grams", "classes").alias("part"))
+    sets = parts.groupBy("sig").agg(F.first("size").alias("size"), F.collect_list("part").alias("segments"))
     sets = scratch(sets.mapInArrow(_sort_sets, "sig long, size int, keys binary"), "sets")
+    discard(shared)
 
     grams = sets.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
     pieces_ = max(1, math.ceil(grams / fragment))
@@ -330,25 +388,28 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, fragment: in
         sets.mapInArrow(_emit_prefixes(t, pieces_), _POSTINGS).groupBy("fragment").applyInArrow(_find_candidates(t), "a long, b long").distinct()
     )
     candidates = scratch(candidates, "candidates")
-    # blocks that no candidate pair crosses, several components in each
-    member = components(candidates).select(F.col("node").alias("sig"), F.col("component"))
-    placed = sets.join(member, "sig").withColumn("block", F.pmod(F.xxhash64("component"), F.lit(pieces_)))
+    # blocks that no candidate pair crosses, several components in each; a spanning forest of each partition's pairs has the same components
+    member = components(candidates.mapInArrow(_spanning, "a long, b long")).select(F.col("node").alias("sig"), F.col("component"))
+    placed = sets.join(small_side(scratch(member, "member"), 32), "sig").withColumn("block", F.pmod(F.xxhash64("component"), F.lit(pieces_)))
     placed = scratch(placed, "placed")
-    cuts = placed.groupBy("block").agg(F.ceil(F.sum(F.octet_length("keys") / 8) / fragment).cast("int").alias("cuts"))
-    cuts = small_side(scratch(cuts, "cuts"), 16)
-    segments = placed.join(cuts, "block").select("block", "cuts", "sig", "size", "keys")
-    segments = segments.mapInArrow(_emit_segments, "block long, cut int, sig long, size int, keys binary")
-    in_block = placed.select(F.col("sig").alias("a"), "block").join(cuts, "block")
-    pairs = candidates.join(in_block, "a").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("block", "cut", "a", "b")
-    overlaps = segments.groupBy("block", "cut").cogroup(pairs.groupBy("block", "cut")).applyInArrow(_count_overlaps, _OVERLAPS)
-    jaccard = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    found = (
-        overlaps.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-        .withColumn("jaccard", jaccard).where(F.col("jaccard") >= t)
-    )
+    cuts = placed.groupBy("block").agg(F.ceil(F.sum(F.octet_length("keys") / 8) / (2 * fragment)).cast("int").alias("cuts"))
+    in_block = small_side(scratch(placed.select(F.col("sig").alias("a"), "block"), "in_block"), 24)
+    # the pairs of a group of thousands are shared out, each part with the block's sets
+    shares = candidates.join(in_block, "a").groupBy("block").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("shares"))
+    cuts = small_side(scratch(cuts.join(shares, "block"), "cuts"), 24)
+    segments = placed.join(cuts, "block").select("block", "cuts", "shares", "sig", "size", "keys")
+    segments = segments.mapInArrow(_emit_segments, "unit string, whole boolean, sig long, size int, keys binary")
+    pairs = candidates.join(in_block, "a").join(cuts, "block").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    pairs = pairs.select(F.concat_ws("/", "block", "cut", F.pmod(F.xxhash64("a"), F.col("shares"))).alias("unit"), "a", "b")
+    overlaps = segments.groupBy("unit").cogroup(pairs.groupBy("unit")).applyInArrow(_count_overlaps(t), _OVERLAPS)
+    overlaps = scratch(overlaps, "overlaps")
+    # a block in one piece has its whole overlaps, those below the threshold left out; of others the parts are summed
+    sizes = [F.first(c).alias(c) for c in ("size_a", "size_b")]
+    summed = overlaps.where("not whole").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), *sizes)
+    found = overlaps.where("whole").select(summed.columns).union(summed)
+    found = found.withColumn("jaccard", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).where(F.col("jaccard") >= t)
     found = scratch(found.select("a", "b", "overlap", "jaccard"), "found")
-    who = scratch(who, "who")
-    for done in (shared, sets, candidates, placed):
+    for done in (sets, candidates, placed, overlaps):
         discard(done)
     return who, found
 
@@ -356,7 +417,7 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, fragment: in
 def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, fragment: int = FRAGMENT) -> DataFrame:
     """(doc_a, doc_b, overlap, jaccard) with doc_a < doc_b, for all pairs of documents whose n-gram sets reach t."""
     who, found = similar_sets(docs, n, t, fragment)
-    left, right = who.select(F.col("doc_id").alias("x"), F.col("sig").alias("a")), who.select(F.col("doc_id").alias("y"), F.col("sig").alias("b"))
+    left, right = (small_side(who.select(F.col("doc_id").alias(d), F.col("sig").alias(s)), 24) for d, s in (("x", "a"), ("y", "b")))
     near = found.join(left, "a").join(right, "b").where("x <> y")
     # only ids that share a set with another go into the self-join
     twice = who.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
