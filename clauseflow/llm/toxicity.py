@@ -1,8 +1,7 @@
 """Toxicity: a sentence classifier regularised by counterfactuals.
 
-A document is as toxic as its worst sentence.  A sentence's logit is a bias plus the weights of its distinct words; it is
-fitted on a bounded sample of labelled documents by the log loss of each document's worst sentence, both classes weighing
-the same.  In every labelled sentence that mentions a group, the identity term is swapped for each other term of its kind
+A document is as toxic as its worst sentence.  A sentence's logit is a bias plus the weights of its distinct words and of their
+beginnings of 5, 6 and 7 bytes (so that a stem counts whatever its ending; identity terms have none); it is fitted on a bounded sample of labelled documents by the log loss of each document's worst sentence, both classes weighing the same.  In every labelled sentence that mentions a group, the identity term is swapped for each other term of its kind
 (one faith for another, one gender for another), and the squared change of the logit is penalised: the weights of a kind's
 terms are drawn together, so that naming a group doesn't move the score.  A term that has no labelled sentence of its own keeps
 weight zero.  The threshold is the one of best F1 on held-out documents.
@@ -27,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import narrowed, pieces
+from .common import discard, narrowed, pieces, scratch
 from .decontamination import Lookup
 
-SAMPLE, LONGEST, MIN_DOCS = 6000, 64, 3
+SAMPLE, LONGEST = 6000, 64
 PIECE = 4 << 20
 
 #: Terms that name groups, by kind; a term is swapped for others of its kind.
@@ -48,8 +47,19 @@ def hash_of(words: list[str]) -> np.ndarray:
     return bs.words(pa.array(words, pa.string()))[1]
 
 
+PREFIXES = (5, 6, 7)
+_TERMS = np.zeros(0, np.uint64)
+
+
+def identity_hashes() -> np.ndarray:
+    global _TERMS
+    if not len(_TERMS):
+        _TERMS = np.unique(np.concatenate([hash_of(t) for t in IDENTITY.values()]))
+    return _TERMS
+
+
 def sentence_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, sentence, row of each sentence) of the distinct words of each sentence; sentences count on over the batch."""
+    """(hash, sentence, row of each sentence) of the words of each sentence and their beginnings; sentences count on over the batch."""
     data, offsets = bs.buffer_of(bs.lowered(texts))
     runs = bs.Runs(data, offsets, words_only=True)
     if not len(runs):
@@ -64,7 +74,16 @@ def sentence_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     new |= place % LONGEST == 0
     sentence = np.cumsum(new) - 1
     rows = runs.row[new]
-    return runs.hashes(), sentence, rows
+    h = runs.hashes()
+    terms = identity_hashes()
+    plain = terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] != h
+    length = runs.end - runs.start
+    hashes, where = [h], [sentence]
+    for k in PREFIXES:
+        long = np.flatnonzero((length > k) & plain)
+        hashes.append(bs.mix(bs.span_hashes(data, runs.start[long], runs.start[long] + k) + np.uint64(k)))
+        where.append(sentence[long])
+    return np.concatenate(hashes), np.concatenate(where), rows
 
 
 @dataclass
@@ -106,7 +125,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(p, -30, 30))), worst
 
 
-def swaps(vocabulary: np.ndarray, code: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def swaps(vocabulary: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(term there, term in its place), as indexes of the vocabulary, for every identity mention and other term of its kind."""
     there, instead = [], []
     for terms in IDENTITY.values():
@@ -118,54 +137,60 @@ def swaps(vocabulary: np.ndarray, code: np.ndarray, sentence: np.ndarray) -> tup
     return a[a != b], b[a != b]
 
 
-def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float = 4.0, ridge: float = 2e-3, steps: int = 150, seed: int = 5, identity: bool = True) -> Model | None:
-    """docs: (label, hashes, sentence numbers) of each labelled document. None without both kinds."""
-    y = np.array([d[0] for d in docs], np.float64)
-    if len(y) < 2 or y.min() == y.max():
-        return None
-    sizes = np.array([len(d[1]) for d in docs])
-    h = np.concatenate([d[1] for d in docs]) if len(docs) else np.zeros(0, np.uint64)
-    doc = np.repeat(np.arange(len(docs)), sizes)
-    names, code = np.unique(h, return_inverse=True)
-    in_docs = np.bincount(np.unique(doc * np.int64(max(1, len(names))) + code) % max(1, len(names)), minlength=len(names))
-    terms = np.concatenate([hash_of(t) for t in IDENTITY.values()])
-    least = MIN_DOCS if len(docs) >= 100 else 1
-    words = np.unique(np.concatenate([names[in_docs >= least], terms]))
-    at = np.minimum(np.searchsorted(words, names), len(words) - 1)
-    at = np.where(words[at] == names, at, -1)
-    code = at[code]
-    # sentences, numbered over all documents
-    step = np.array([int(d[2].max()) + 1 if len(d[2]) else 0 for d in docs], np.int64)
-    sentence = np.concatenate([d[2] for d in docs]) + np.repeat(np.cumsum(step) - step, sizes)
-    s_doc = np.repeat(np.arange(len(docs)), step)
-    keep = code >= 0
-    key = np.unique(sentence[keep] * np.int64(len(words)) + code[keep])
-    sentence, code = key // len(words), key % len(words)
-    first = np.searchsorted(sentence, np.arange(len(s_doc) + 1))
-    s_first = np.searchsorted(s_doc, np.arange(len(docs) + 1))
-    have = np.flatnonzero(np.diff(s_first))
-
+def parts(y: np.ndarray, have: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(which documents train, which are held out), among those that have words."""
     order = np.random.default_rng(seed).permutation(have)
     held = order[: len(order) // 5] if len(order) >= 50 else order[:0]
-    mask = np.zeros(len(docs), bool)
+    mask = np.zeros(len(y), bool)
     mask[have] = True
     mask[held] = False
     if len(set(y[mask].tolist())) < 2:
         mask[held], held = True, held[:0]
+    return mask, held
+
+
+def vocabulary(y: np.ndarray, words_of: list[np.ndarray], mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of what speaks for toxicity at all, and of the identity terms; weights to start from: smoothed log ratios of document shares)."""
+    terms = identity_hashes()
+    toxic = [w for w, k, m in zip(words_of, y, mask) if m and k == 1]
+    clean = [w for w, k, m in zip(words_of, y, mask) if m and k == 0]
+    names, pos = np.unique(np.concatenate([*toxic, np.zeros(0, np.uint64)]), return_counts=True)
+    seldom = pos < min(3, len(toxic))
+    names, pos = names[~seldom], pos[~seldom]
+    neg = np.zeros(len(names), np.int64)
+    for w in clean:
+        at = np.searchsorted(names, w)
+        at = at[at < len(names)] if not len(names) else np.minimum(at, len(names) - 1)
+        if len(names):
+            neg[at[names[at] == w]] += 1
+    weight = np.clip(np.log((pos / max(1, len(toxic)) + 0.002) / (neg / max(1, len(clean)) + 0.002)), -1, 3)
+    keep = (weight >= 0.3) & ~np.isin(names, terms)
+    words = np.concatenate([names[keep], terms])
+    o = np.argsort(words)
+    return words[o], np.concatenate([weight[keep], np.zeros(len(terms))])[o]
+
+
+def encoded(h: np.ndarray, sentence: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(code, sentence) of the words inside the vocabulary, each once a sentence; the number of sentences."""
+    n = int(sentence.max()) + 1 if len(sentence) else 0
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    inside = words[at] == h
+    key = np.unique(sentence[inside].astype(np.int64) * len(words) + at[inside])
+    return (key % len(words)).astype(np.int32), (key // len(words)).astype(np.int32), n
+
+
+def fit_encoded(y: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray, int]], words: np.ndarray, weight: np.ndarray, mask: np.ndarray, held: np.ndarray, counterfactual: float = 4.0, ridge: float = 1.0, steps: int = 300) -> Model:
+    step = np.array([d[2] for d in docs], np.int64)
+    sizes = np.array([len(d[0]) for d in docs])
+    code = np.concatenate([d[0] for d in docs]).astype(np.int64)
+    sentence = np.concatenate([d[1] for d in docs]) + np.repeat(np.cumsum(step) - step, sizes)
+    s_doc = np.repeat(np.arange(len(docs)), step)
+    first = np.searchsorted(sentence, np.arange(len(s_doc) + 1))
+    s_first = np.searchsorted(s_doc, np.arange(len(docs) + 1))
+    have = np.flatnonzero(step)
     cost = np.where(y == 1, 0.5 / max(1, (y[mask] == 1).sum()), 0.5 / max(1, (y[mask] == 0).sum())) * mask
-    # where words occur in documents of either kind starts the weights off, so that the worst sentence is the right one early on
-    both = np.unique(s_doc[sentence] * np.int64(len(words)) + code)
-    d_of, w_of = both // len(words), both % len(words)
-    inside = mask[d_of]
-    pos = np.bincount(w_of[inside & (y[d_of] == 1)], minlength=len(words))
-    neg = np.bincount(w_of[inside & (y[d_of] == 0)], minlength=len(words))
-    n_pos, n_neg = max(1, (y[mask] == 1).sum()), max(1, (y[mask] == 0).sum())
-    rate = (pos / n_pos + 0.002) / (neg / n_neg + 0.002)
-    weight = np.clip(np.log(rate), -1, 3) * np.where(pos + neg >= 5, 1.0, 0.3)
-    group = np.searchsorted(words, np.sort(terms))
-    weight[group] = 0
     bias = -1.0
-    a, b = swaps(words, code, sentence) if counterfactual and identity else (np.zeros(0, np.int64),) * 2
+    a, b = swaps(words, code[mask[s_doc[sentence]]]) if counterfactual else (np.zeros(0, np.int64),) * 2
 
     def tops(w: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray]:
         total = np.bincount(sentence, w[code], minlength=len(s_doc)) + c
@@ -185,7 +210,7 @@ def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float =
             grad += np.bincount(a, change, minlength=len(words)) - np.bincount(b, change, minlength=len(words))
         full = np.append(grad, g.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
-        move = 0.03 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-7)
+        move = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-7)
         weight, bias = weight - move[:-1], bias - move[-1]
     top, _ = tops(weight, bias)
     threshold = 0.5
@@ -203,28 +228,63 @@ def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float =
         if scores.max() > 0:
             best_at = np.flatnonzero(scores >= scores.max() - 1e-12)
             threshold = float(grid[best_at[len(best_at) // 2]])
-    used = weight != 0
-    return Model(words[used], weight[used], float(bias), threshold) if used.any() else Model(words[:1], np.zeros(1), float(bias), threshold)
+    return Model(words, weight, float(bias), threshold)
+
+
+def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float = 4.0) -> Model | None:
+    """docs: (label, hashes, sentence numbers) of each labelled document. None without both kinds."""
+    y = np.array([d[0] for d in docs], np.float64)
+    have = np.array([k for k, d in enumerate(docs) if len(d[1])], np.int64)
+    if not len(have) or y[have].min() == y[have].max():
+        return None
+    mask, held = parts(y, have)
+    words, weight = vocabulary(y, [np.unique(d[1]) for d in docs], mask)
+    return fit_encoded(y, [encoded(d[1], d[2], words) for d in docs], words, weight, mask, held, counterfactual)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual: float = 4.0) -> Model | None:
-    """Fits on at most `sample` labelled documents, the first in order of the hash of their id."""
+    """Fits on at most `sample` labelled documents, the first in order of the hash of their id.
+
+    Their distinct words come to the driver, which picks the vocabulary; then their sentences, in that vocabulary alone."""
     chosen = (
         narrowed(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     )
+    docs = narrowed(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), "text")
+    rows = scratch(docs, "labelled")
+    order = lambda r: (r.doc_id, r.toxic, r.h)  # noqa: E731  the order tasks end in must not matter
+
+    def per_document(piece: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        h, sentence, row_of = sentence_words(piece.column("text"))
+        o = np.argsort(sentence, kind="stable")
+        h, sentence = h[o], sentence[o]
+        row = row_of[sentence] if len(row_of) else sentence
+        cut = np.searchsorted(row, np.arange(piece.num_rows + 1))
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            yield h[lo:hi], sentence[lo:hi] - (sentence[lo] if hi > lo else 0)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", PIECE):
+            out = [np.unique(h).tobytes() for h, _ in per_document(piece)]
+            yield pa.record_batch({"doc_id": piece.column("doc_id"), "toxic": piece.column("toxic"), "h": piece.column("h"), "words": pa.array(out, pa.binary())})
+
+    found = sorted(rows.mapInArrow(distinct, "doc_id long, toxic int, h long, words binary").collect(), key=order)
+    y = np.array([r.toxic for r in found], np.float64)
+    have = np.array([k for k, r in enumerate(found) if len(r.words)], np.int64)
+    if not len(have) or y[have].min() == y[have].max():
+        discard(rows)
+        return None
+    mask, held = parts(y, have)
+    words, weight = vocabulary(y, [np.frombuffer(r.words, np.uint64) for r in found], mask)
+    del found
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE):
-            h, sentence, rows = sentence_words(piece.column("text"))
-            row = rows[sentence] if len(rows) else sentence
-            cut = np.searchsorted(row, np.arange(piece.num_rows + 1))
-            out = [(h[lo:hi].tobytes(), (sentence[lo:hi] - (sentence[lo] if hi > lo else 0)).astype(np.int32).tobytes()) for lo, hi in zip(cut[:-1], cut[1:])]
-            yield pa.record_batch({"doc_id": piece.column("doc_id"), "y": piece.column("toxic"), "words": pa.array([x for x, _ in out], pa.binary()), "sentences": pa.array([x for _, x in out], pa.binary())})
+            out = [encoded(h, s, words) for h, s in per_document(piece)]
+            yield pa.record_batch({"doc_id": piece.column("doc_id"), "toxic": piece.column("toxic"), "h": piece.column("h"), "codes": pa.array([c.tobytes() for c, _, _ in out], pa.binary()), "sentences": pa.array([s.tobytes() for _, s, _ in out], pa.binary()), "n": pa.array([n for _, _, n in out], pa.int32())})
 
-    docs = narrowed(docs, doc_id="long", text="string")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(words_of, "doc_id long, y int, words binary, sentences binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.y, bytes(r.words)))  # the order tasks end in must not matter
-    return fit([(r.y, np.frombuffer(r.words, np.uint64), np.frombuffer(r.sentences, np.int32).astype(np.int64)) for r in rows], counterfactual)
+    found = sorted(rows.mapInArrow(codes, "doc_id long, toxic int, h long, codes binary, sentences binary, n int").collect(), key=order)
+    discard(rows)
+    return fit_encoded(y, [(np.frombuffer(r.codes, np.int32), np.frombuffer(r.sentences, np.int32), r.n) for r in found], words, weight, mask, held, counterfactual)
 
 
 _SCORED = "doc_id long, p_toxic double, sentence int, toxic boolean"
