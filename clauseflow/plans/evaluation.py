@@ -129,7 +129,7 @@ def greedy_match(gold: DataFrame, predicted: DataFrame, least: float = 0.4) -> D
 def greedy_match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites' statements as gold against a disturbed copy as predictions."""
     s = synth.site_statements(spark, sf_dir).select(F.col("policy").alias("clause"), F.substring("sid", 2, 20).cast("long").alias("place"), F.array_distinct(F.split(F.lower("source_text"), "[^a-z0-9]+")).alias("tokens"), "action", F.col("data_type").alias("kind"))
-    p = s.withColumn("action", F.when(F.col("place") % 3 == 0, "process").otherwise(F.col("action"))).where("place % 5 <> 0")
+    p = s.withColumn("action", F.when(F.col("place") % 3 == 0, "process").otherwise(F.col("action"))).withColumn("kind", F.when(F.col("place") % 5 == 0, o.ROOT).otherwise(F.col("kind")))
     return greedy_match(s, p)
 
 

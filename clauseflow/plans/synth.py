@@ -82,12 +82,10 @@ def site_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vendor_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate keys of line items collapse to the row of the least part."""
-    raw = (
-        table(spark, sf_dir, "lineitem").where("l_orderkey % 30 = 0")
-        .groupBy(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n")).agg(F.min("l_partkey").alias("p"))
-    )
-    raw = raw.select(F.col("s").alias("policy"), F.concat_ws("_", F.concat(F.lit("v"), "s"), "k", "n").alias("sid"), F.expr("k div 30").alias("d"), "s", "n", "p")
+    """A statement for each vendor, line number and residue of the order: all its lines go into one, which the least part stands for."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), (F.col("l_orderkey") % 3).alias("d"), F.col("l_linenumber").cast("long").alias("n"), "l_partkey")
+    raw = lines.groupBy("s", "d", "n").agg(F.min("l_partkey").alias("p"))
+    raw = raw.select(F.col("s").alias("policy"), F.concat_ws("_", F.concat(F.lit("v"), "s"), "d", "n").alias("sid"), "d", "s", "n", "p")
     return spark.sql(_finish("{x}", "vendor"), x=_named(raw, _VENDOR))
 
 
@@ -106,7 +104,7 @@ def pairs(spark: SparkSession, sf_dir: str, per_site: int = 2) -> DataFrame:
 
 SITES_SQL = f"""sites AS ({_finish('site_raw', 'website').replace('AS STRING', 'AS VARCHAR')}),"""
 SITE_RAW_SQL = f"""site_raw AS ({_named_sql("(SELECT o_custkey AS policy, 'w' || o_orderkey AS sid, o_orderkey AS k, o_custkey AS c FROM orders)", _SITE)}),"""
-VENDOR_RAW_SQL = f"""vendor_raw AS ({_named_sql("(SELECT s AS policy, 'v' || s || '_' || k || '_' || n AS sid, k // 30 AS d, s, n, p FROM (SELECT l_suppkey AS s, l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS n, min(l_partkey) AS p FROM lineitem WHERE l_orderkey % 30 = 0 GROUP BY ALL))", _VENDOR)}),"""
+VENDOR_RAW_SQL = f"""vendor_raw AS ({_named_sql("(SELECT s AS policy, 'v' || s || '_' || d || '_' || n AS sid, d, s, n, p FROM (SELECT l_suppkey AS s, l_orderkey % 3 AS d, CAST(l_linenumber AS BIGINT) AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL))", _VENDOR)}),"""
 VENDORS_SQL = f"""vendors AS ({_finish('vendor_raw', 'vendor').replace('AS STRING', 'AS VARCHAR')}),"""
 OBSERVED_SQL = "observed AS (SELECT o_custkey AS site, l_suppkey AS vendor, l_partkey AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey),"
 PAIRS_SQL = """pairs AS (SELECT site, vendor FROM (SELECT site, vendor, row_number() OVER (PARTITION BY site ORDER BY (site * 7919 + vendor * 104729) % 1000003, vendor) AS k FROM (SELECT DISTINCT site, vendor FROM observed)) WHERE k <= 2),"""
