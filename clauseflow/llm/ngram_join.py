@@ -374,7 +374,8 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, fragment: in
 
     segments = shared.where("doc_id is null")
     # counts travel first, and the n-grams of those sets alone that can still reach the threshold
-    totals = segments.groupBy("sig").agg(F.sum("shared").alias("total"))
+    # a task adds up several fragments, so that a set has few rows to shuffle
+    totals = segments.select("sig", "shared").coalesce(max(1, math.ceil(fragments / 16))).groupBy("sig").agg(F.sum("shared").alias("total"))
     alive = totals.join(who.select("sig", "size").distinct(), "sig").where(F.col("total") >= t * F.col("size") - 1e-6).select("sig", "size")
     alive = small_side(scratch(alive, "alive"), 24)
     parts = segments.drop("size").join(alive, "sig").select("sig", "size", F.struct("fragment", "grams", "classes").alias("part"))
@@ -384,9 +385,8 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, fragment: in
 
     grams = sets.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
     pieces_ = max(1, math.ceil(grams / fragment))
-    candidates = (
-        sets.mapInArrow(_emit_prefixes(t, pieces_), _POSTINGS).groupBy("fragment").applyInArrow(_find_candidates(t), "a long, b long").distinct()
-    )
+    candidates = sets.mapInArrow(_emit_prefixes(t, pieces_), _POSTINGS).groupBy("fragment").applyInArrow(_find_candidates(t), "a long, b long")
+    candidates = candidates.distinct().sortWithinPartitions("a", "b")  # in order they compress, here and in the next shuffle
     candidates = scratch(candidates, "candidates")
     # blocks that no candidate pair crosses, several components in each; a spanning forest of each partition's pairs has the same components
     member = components(candidates.mapInArrow(_spanning, "a long, b long")).select(F.col("node").alias("sig"), F.col("component"))
