@@ -117,8 +117,7 @@ def secrets_in(texts: pa.Array, bits: float = BITS_A_SIGN, identifiers: bytes =
     before = 0
     for r, lo, hi in zip(row.tolist(), start.tolist(), end.tolist()):
         first, last = int(offsets[r]), int(offsets[r + 1])
-        head = raw[max(first, lo - BEFORE, before) : lo]  # a context belongs to the candidate that follows it
-        before = hi
+        head = raw[max(first, lo - BEFORE, before) : lo]  # a context belongs to the secret that follows it; names and paths between are part of it
         lines = head.split(b"\n")
         whole = b"\n".join(lines[-2:])
         found = [m.group(1) for m in CONTEXT.finditer(whole)]
@@ -127,6 +126,7 @@ def secrets_in(texts: pa.Array, bits: float = BITS_A_SIGN, identifiers: bytes =
             if not own or b"=" not in raw[lo:hi]:
                 continue
             found = [own.group(1)]
+        end_of_run = hi
         lo, hi = trimmed(raw, lo, hi)
         token = raw[lo:hi]
         if len(token) < MIN_LENGTH or looks_spelled(token):
@@ -135,6 +135,7 @@ def secrets_in(texts: pa.Array, bits: float = BITS_A_SIGN, identifiers: bytes =
         cost = marginal_bytes(token, around, identifiers)
         each = 8 * cost / len(token)
         if each >= bits:
+            before = end_of_run
             yield r, lo - first, hi - lo, found[-1].decode("utf-8", "replace").lower(), cost, each, hashlib.sha256(token).hexdigest()[:16]
 
 

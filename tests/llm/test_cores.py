@@ -128,6 +128,22 @@ def test_secrets_are_found_and_names_are_not():
         assert texts[r].encode()[start : start + n].decode() in (key, other)
 
 
+def test_long_names_give_their_context_to_the_value():
+    random.seed(2)
+    key = "".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=36))
+    names = ["aws_secret_access_key", "github_access_token", "client_secret_value", "stripe_secret_key", "database_password", "DJANGO_SECRET_KEY"]
+    texts = [form.format(n, key) for n in names for form in ("{} = {}", "{}: {}", '{{"{}": "{}"}}')] + [f"token /some/long/path/name {key}"]
+    found = list(secret_scan.secrets_in(pa.array(texts, pa.string())))
+    assert [r for r, *_ in found] == list(range(len(texts)))
+    assert {texts[r].encode()[start : start + n].decode() for r, start, n, *_ in found} == {key}
+
+
+def test_a_secret_takes_its_context_with_it():
+    random.seed(3)
+    key, sum_ = ("".join(random.choices("0123456789abcdef", k=40)) for _ in range(2))
+    assert [n for _, _, n, *_ in secret_scan.secrets_in(pa.array([f"token: {key} {sum_}"]))] == [40]
+
+
 @given(st.lists(st.text("aZ9-_ \n.é", max_size=30), max_size=5), st.integers(2, 6))
 @settings(max_examples=100, deadline=None)
 def test_candidates_are_maximal_runs(texts, least):
