@@ -88,11 +88,19 @@ def candidates(data: np.ndarray, offsets: np.ndarray, least: int = MIN_LENGTH) -
     return np.searchsorted(offsets, start, "right") - 1, start, end
 
 
+def assigned_name(run: bytes) -> bytes:
+    """What stands in front of the last '=' that isn't padding: the name in name=value without spaces, or nothing."""
+    return run.rstrip(b"=").rpartition(b"=")[0]
+
+
 def trimmed(raw: bytes, lo: int, hi: int) -> tuple[int, int]:
     """Without the assignment in front (name=...) and the punctuation around."""
     part = raw[lo:hi]
-    m = re.match(rb"[A-Za-z_.\-]{2,40}=(?==?[^=])", part)
-    if m and len(part) - m.end() >= MIN_LENGTH:
+    name = assigned_name(part)
+    m = re.match(rb"[A-Za-z0-9_.\-]{2,40}=(?==?[^=])", part)
+    if CONTEXT.search(name) and len(part) - len(name) - 1 >= MIN_LENGTH:
+        lo += len(name) + 1
+    elif m and len(part) - m.end() >= MIN_LENGTH:
         lo += m.end()
     while hi > lo and raw[hi - 1] in b".-~":
         hi -= 1
@@ -122,10 +130,9 @@ def secrets_in(texts: pa.Array, bits: float = BITS_A_SIGN, identifiers: bytes =
         whole = b"\n".join(lines[-2:])
         found = [m.group(1) for m in CONTEXT.finditer(whole)]
         if not found:
-            own = CONTEXT.match(raw[lo:hi])  # name=value without a space
-            if not own or b"=" not in raw[lo:hi]:
+            found = [m.group(1) for m in CONTEXT.finditer(assigned_name(raw[lo:hi]))]  # name=value without a space
+            if not found:
                 continue
-            found = [own.group(1)]
         end_of_run = hi
         lo, hi = trimmed(raw, lo, hi)
         token = raw[lo:hi]

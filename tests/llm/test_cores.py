@@ -138,6 +138,17 @@ def test_long_names_give_their_context_to_the_value():
     assert {texts[r].encode()[start : start + n].decode() for r, start, n, *_ in found} == {key}
 
 
+def test_names_whose_sensitive_word_is_not_first():
+    random.seed(4)
+    key = "".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=36))
+    names = ["DB_PASSWORD", "OPENAI_API_KEY", "MY_SECRET", "refresh_token", "S3_BUCKET2_SECRET", "https://example.org/cb?access_token", "--env=DB_PASSWORD", "A_NAME_OF_MORE_THAN_FORTY_SIGNS_FOR_THE_DATABASE_PASSWORD"]
+    texts = [f"{n}={key}" for n in names] + [f"MY_SECRET={key}=="]
+    found = list(secret_scan.secrets_in(pa.array(texts, pa.string())))
+    assert [r for r, *_ in found] == list(range(len(texts)))
+    assert {texts[r].encode()[start : start + n].decode().rstrip("=") for r, start, n, *_ in found} == {key}
+    assert not list(secret_scan.secrets_in(pa.array([f"COLOUR={key}", f"{key}==", "MY_SECRET=getAuthenticationTokenFromEnvironment"])))
+
+
 def test_a_secret_takes_its_context_with_it():
     random.seed(3)
     key, sum_ = ("".join(random.choices("0123456789abcdef", k=40)) for _ in range(2))
