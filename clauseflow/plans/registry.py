@@ -7,15 +7,27 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import synth
+
 FLAGSHIP = "cross_policy_findings"
 MODULES = ["conflicts", "ecosystem", "textual", "web", "evaluation", "pipeline"]
 
+#: Queries on synth.pairs, which takes two vendors a site; each is there again as NAME_whole, over all observed pairs.
+ON_PAIRS = [
+    "cross_policy_findings", "modality_cross", "modality_graph", "exclusivity_cross", "condition_cross", "retention_cross", "pair_verdict_mix", "party_inconsistency", "verdict_crosstab",
+    "finding_counts", "inconsistency_heatmap", "coverage_diff", "aligned_pairs", "bridge_flows", "tracker_enrichment", "same_entity_excluded",
+]
+
+
+def _whole_oracle(sql) -> Callable[[], str]:
+    return lambda: synth.whole_sql(sql if isinstance(sql, str) else sql())
+
 
 def _all() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
     for m in MODULES:
         out |= import_module(f".{m}", __package__).QUERIES
-    return out
+    return out | {f"{name}_whole": (synth.whole(out[name][0]), _whole_oracle(out[name][1])) for name in ON_PAIRS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

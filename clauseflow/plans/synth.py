@@ -6,6 +6,9 @@ statements and line items the vendors', by integer arithmetic only, so that Spar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,10 +98,33 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("site"), F.col("l_suppkey").alias("vendor"), F.col("l_partkey").alias("part"))
 
 
+_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+def whole(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The same query over all distinct observed pairs."""
+
+    def over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _WHOLE.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _WHOLE.reset(token)
+
+    return over_all
+
+
+def whole_sql(sql: str) -> str:
+    """The oracle of such a query."""
+    return sql.replace(PAIRS_SQL.rstrip(", "), ALL_PAIRS_SQL.rstrip(", "))
+
+
 def pairs(spark: SparkSession, sf_dir: str, per_site: int = 2) -> DataFrame:
-    """(site, vendor): the vendors of each site that a fixed mixing of the keys puts first."""
+    """(site, vendor): the vendors of each site that a fixed mixing of the keys puts first; within whole() all of them."""
     w = Window.partitionBy("site").orderBy(F.expr("(site * 7919 + vendor * 104729) % 1000003"), "vendor")
     seen = observations(spark, sf_dir).select("site", "vendor").distinct()
+    if _WHOLE.get():
+        return seen
     return seen.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_site).select("site", "vendor")
 
 
@@ -108,6 +134,7 @@ VENDOR_RAW_SQL = f"""vendor_raw AS ({_named_sql("(SELECT s AS policy, 'v' || s |
 VENDORS_SQL = f"""vendors AS ({_finish('vendor_raw', 'vendor').replace('AS STRING', 'AS VARCHAR')}),"""
 OBSERVED_SQL = "observed AS (SELECT o_custkey AS site, l_suppkey AS vendor, l_partkey AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey),"
 PAIRS_SQL = """pairs AS (SELECT site, vendor FROM (SELECT site, vendor, row_number() OVER (PARTITION BY site ORDER BY (site * 7919 + vendor * 104729) % 1000003, vendor) AS k FROM (SELECT DISTINCT site, vendor FROM observed)) WHERE k <= 2),"""
+ALL_PAIRS_SQL = "pairs AS (SELECT DISTINCT site, vendor FROM observed),"
 RELATED_SQL = f"related AS (SELECT * FROM {o.values(o.related(), 'a, b')}),"
 
 #: Everything that the detectors' oracles start from; ends with a comma.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clauseflow.functions import ontology as o
 from clauseflow.functions import text as t
 from clauseflow.operators import models, normalise, patterns, segment
-from clauseflow.plans import evaluation, fixtures, synth
+from clauseflow.plans import evaluation, fixtures, registry, synth
 from clauseflow.sources import readers, sinks
 from clauseflow.streaming import incremental
 
@@ -149,3 +149,23 @@ def test_stream_appends_each_key_once(spark, tmp_path):
         q = incremental.append_results(incremental.stream(spark, src, "k int, v string"), lambda df: df.withColumn("done", F.lit(True)), out, str(tmp_path / "cp"), ["k"])
         q.awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+@pytest.fixture(scope="module")
+def few_sites(tmp_path_factory):
+    """Two sites of many vendors, with their orders and lines."""
+    import duckdb
+
+    at, c = str(tmp_path_factory.mktemp("few")), duckdb.connect()
+    c.execute(f"copy (select * from '{SF}/orders.parquet' where o_custkey in (select o_custkey from '{SF}/orders.parquet' group by 1 order by count(*) desc, 1 limit 2)) to '{at}/orders.parquet' (format parquet)")
+    c.execute(f"copy (select l.* from '{SF}/lineitem.parquet' l join '{at}/orders.parquet' on o_orderkey = l_orderkey) to '{at}/lineitem.parquet' (format parquet)")
+    return at
+
+
+def test_whole_queries_take_every_observed_pair(spark, few_sites):
+    import duckdb
+
+    seen = set(duckdb.sql(f"select distinct o_custkey, l_suppkey from '{few_sites}/orders.parquet' join '{few_sites}/lineitem.parquet' on o_orderkey = l_orderkey").fetchall())
+    assert len(seen) > 4 == synth.pairs(spark, few_sites).count()
+    assert sum(r.pairs for r in registry.queries()["pair_verdict_mix_whole"](spark, few_sites).collect()) == len(seen)
+    assert synth.pairs(spark, few_sites).count() == 4
