@@ -85,10 +85,15 @@ def site_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vendor_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A statement for each vendor, line number and residue of the order: all its lines go into one, which the least part stands for."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), (F.col("l_orderkey") % 3).alias("d"), F.col("l_linenumber").cast("long").alias("n"), "l_partkey")
-    raw = lines.groupBy("s", "d", "n").agg(F.min("l_partkey").alias("p"))
-    raw = raw.select(F.col("s").alias("policy"), F.concat_ws("_", F.concat(F.lit("v"), "s"), "d", "n").alias("sid"), "d", "s", "n", "p")
+    """A statement for each vendor, line number and residue of the order: all its lines go into one, which the least part stands for; within whole() one for each line."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("d"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("p"))
+    key = ["d", "n"]
+    if _WHOLE.get():  # order and line number repeat; lines equal in the part too make equal statements, which are numbered
+        raw = lines.withColumn("k", F.row_number().over(Window.partitionBy("s", "d", "n", "p").orderBy("p")))
+        key = ["d", "n", "p", "k"]
+    else:
+        raw = lines.withColumn("d", F.col("d") % 3).groupBy("s", "d", "n").agg(F.min("p").alias("p"))
+    raw = raw.select(F.col("s").alias("policy"), F.concat_ws("_", F.concat(F.lit("v"), "s"), *key).alias("sid"), "d", "s", "n", "p")
     return spark.sql(_finish("{x}", "vendor"), x=_named(raw, _VENDOR))
 
 
@@ -102,7 +107,7 @@ _WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 
 
 def whole(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The same query over all distinct observed pairs."""
+    """The same query over all distinct observed pairs, with a vendor statement for each line item."""
 
     def over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         token = _WHOLE.set(True)
@@ -116,7 +121,7 @@ def whole(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 def whole_sql(sql: str) -> str:
     """The oracle of such a query."""
-    return sql.replace(PAIRS_SQL.rstrip(", "), ALL_PAIRS_SQL.rstrip(", "))
+    return sql.replace(PAIRS_SQL.rstrip(", "), ALL_PAIRS_SQL.rstrip(", ")).replace(VENDOR_RAW_SQL, LINE_RAW_SQL)
 
 
 def pairs(spark: SparkSession, sf_dir: str, per_site: int = 2) -> DataFrame:
@@ -131,6 +136,7 @@ def pairs(spark: SparkSession, sf_dir: str, per_site: int = 2) -> DataFrame:
 SITES_SQL = f"""sites AS ({_finish('site_raw', 'website').replace('AS STRING', 'AS VARCHAR')}),"""
 SITE_RAW_SQL = f"""site_raw AS ({_named_sql("(SELECT o_custkey AS policy, 'w' || o_orderkey AS sid, o_orderkey AS k, o_custkey AS c FROM orders)", _SITE)}),"""
 VENDOR_RAW_SQL = f"""vendor_raw AS ({_named_sql("(SELECT s AS policy, 'v' || s || '_' || d || '_' || n AS sid, d, s, n, p FROM (SELECT l_suppkey AS s, l_orderkey % 3 AS d, CAST(l_linenumber AS BIGINT) AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL))", _VENDOR)}),"""
+LINE_RAW_SQL = f"""vendor_raw AS ({_named_sql("(SELECT s AS policy, 'v' || s || '_' || d || '_' || n || '_' || p || '_' || row_number() OVER (PARTITION BY s, d, n, p) AS sid, d, s, n, p FROM (SELECT l_suppkey AS s, l_orderkey AS d, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS p FROM lineitem))", _VENDOR)}),"""
 VENDORS_SQL = f"""vendors AS ({_finish('vendor_raw', 'vendor').replace('AS STRING', 'AS VARCHAR')}),"""
 OBSERVED_SQL = "observed AS (SELECT o_custkey AS site, l_suppkey AS vendor, l_partkey AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey),"
 PAIRS_SQL = """pairs AS (SELECT site, vendor FROM (SELECT site, vendor, row_number() OVER (PARTITION BY site ORDER BY (site * 7919 + vendor * 104729) % 1000003, vendor) AS k FROM (SELECT DISTINCT site, vendor FROM observed)) WHERE k <= 2),"""

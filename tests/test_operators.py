@@ -169,3 +169,18 @@ def test_whole_queries_take_every_observed_pair(spark, few_sites):
     assert len(seen) > 4 == synth.pairs(spark, few_sites).count()
     assert sum(r.pairs for r in registry.queries()["pair_verdict_mix_whole"](spark, few_sites).collect()) == len(seen)
     assert synth.pairs(spark, few_sites).count() == 4
+
+
+def test_whole_queries_take_every_line_item(spark, few_sites):
+    import duckdb
+
+    c = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        c.execute(f"create view {name} as select * from '{few_sites}/{name}.parquet'")
+    lines = c.execute("select count(*) from lineitem").fetchone()[0]
+    statements = synth.whole(synth.vendor_statements)(spark, few_sites)
+    assert statements.count() == statements.select("sid").distinct().count() == lines > synth.vendor_statements(spark, few_sites).count()
+    for name in ("modality_cross", "retention_cross"):
+        mine = registry.queries()[f"{name}_whole"](spark, few_sites)
+        want = c.execute(synth.whole_sql(registry.oracle_sql()[name])).fetchdf()
+        assert len(want) and sorted(map(str, mine.collect())) == sorted(str(r) for r in spark.createDataFrame(want, mine.schema).select(*mine.columns).collect())
