@@ -1,7 +1,7 @@
 """HTML extraction by minimum cut.
 
 1. A page is scanned once into text blocks: what stands between tags that break lines. Scripts, styles, comments and the head's
-   other parts don't count. A block has its text, its links' share, its path of tags.
+   other parts don't count; a head ends at the first text or tag that it can't have. A block has its text, its links' share, its path of tags.
 2. A logistic classifier gives each block a probability of being content, from its words, links, punctuation, place and neighbours.  It is
    trained here on a bounded sample of pages, whose landmark tags (article and main against nav, footer, aside, header and
    advertisement classes) label blocks at a distance; the tags are no features. Without such pages fixed weights serve.
@@ -13,7 +13,7 @@
 One pass over the pages, without a shuffle.
 
 Defined results: a null, empty or tagless page has no block or one; pages without content have an empty text; broken markup is read as far as it goes (an
-unclosed tag ends with the page, an unclosed script hides the rest); repeated rows and null ids are carried; pages of any
+unclosed tag ends with the page, an unclosed script or style hides the rest, nothing else does); repeated rows and null ids are carried; pages of any
 length are read whole; further columns are ignored; an empty table gives no rows.
 """
 
@@ -34,7 +34,15 @@ from .common import narrowed, pieces
 
 SAMPLE, FOLLOWING, PROXIMITY, NEAR = 2000, 0.6, 0.8, 8
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_ATTRIBUTES = r"(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>)"
+#: What a head may have, from its start tag on; anything else ends it, whether or not its closing tag is there.
+_HEAD = re.compile(
+    r"(?:\s++|<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template)\b[^>]*>.*?</\2\s*>"
+    r"|<title\b[^>]*>(?:(?:(?!</?(?:head|body|title)\b).)*+</title\s*>|[^<]*)|</?(?:meta|link|base|basefont|bgsound)\b" + _ATTRIBUTES + r")*+(?:</head\s*>)?",
+    re.S | re.I,
+)
+_HIDDEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template", "svg")}  # up to their closing tags, if they have any
 _INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _GOOD, _POOR = frozenset(["article", "main"]), frozenset(["nav", "footer", "aside", "header", "menu", "form"])
@@ -58,6 +66,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, int, int]] = []  # tag, number, landmark
     parts: list[str] = []
     linked, in_link, serial, at = 0, 0, 0, 0
+    unclosed: set[str] = set()
 
     def text_to(end: int) -> None:
         nonlocal linked
@@ -78,7 +87,7 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         text_to(m.start())
         at = m.end()
         tag = m.group(3)
@@ -86,6 +95,16 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         closing = bool(m.group(2))
+        if tag == "head" and not closing:
+            at = _HEAD.match(page, at).end()
+            continue
+        if tag in _HIDDEN and not closing:
+            if tag not in unclosed and not (tag == "svg" and m.group(4).endswith("/")):
+                if end := _HIDDEN[tag].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(tag)
+            continue
         if tag == "a":
             in_link = 0 if closing else 1
             continue

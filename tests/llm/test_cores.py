@@ -104,6 +104,23 @@ def test_broken_markup_is_read(page):
     assert 0 <= kept <= n
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>T</title><body><p>text", ["text"]),
+        ("<head><meta charset='u'><title>a <b> c</title><script>'<p>'</script><style>p{}</style><p>one<p>two", ["one", "two"]),
+        ("<head><title>T</title>bare text<p>more</p>", ["bare text", "more"]),
+        ("<head><title>T<body><p>text", ["text"]),
+        ("<head><link rel=x><noscript><p>hidden</p></noscript></head><body><p>text", ["text"]),
+        ("<p>one <svg class='x'/> two</p><p>three</p><svg><text>hidden</text></svg><p>four", ["one two", "three", "four"]),
+        ("<p>one</p><svg><p>two</p><template><p>three</p><noscript><p>four", ["one", "two", "three", "four"]),
+        ("<p>one</p><template><p>hidden</p></template><header>two</header><style>three", ["one", "two"]),
+    ],
+)
+def test_only_what_is_hidden_is_left_out(page, texts):
+    assert [b.text for b in html_extract.blocks_of(page)] == texts
+
+
 # --- secrets
 
 
