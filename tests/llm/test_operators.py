@@ -334,6 +334,18 @@ def test_rules_of_awkward_rows(awkward, nothing):
     assert outliers.flag_outliers(nothing).count() == 0
 
 
+def test_rules_of_more_groups_than_a_pass_has(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'")
+    d = d.withColumn("source", F.when(F.col("doc_id") % 31 == 0, F.concat(F.lit("few"), "doc_id")).when(F.col("doc_id") % 4 > 0, (F.col("doc_id") % 4).cast("string")))
+    monkeypatch.setattr(outliers, "MIN_ROWS", 20)
+    want = {r.doc_id: r for r in outliers.flag_outliers(d).collect()}
+    monkeypatch.setattr(outliers, "MAX_GROUPS", 2)
+    got = outliers.flag_outliers(d).collect()
+    assert len(got) == d.count() == len(want) and d.where("source is null").count() >= 20
+    for r in got:
+        assert r.keep == want[r.doc_id].keep and r.distance == pytest.approx(want[r.doc_id].distance, rel=1e-3)
+
+
 def test_rules_equal_an_exact_concentration(spark):
     """The binned, distributed steps end where plain steps over all rows do."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.lit("one")).where("lang = 'en'")
