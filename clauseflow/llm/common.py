@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -27,16 +28,25 @@ def trim() -> None:
         pass
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect."""
+_LAST = [0.0]
+
+
+def forget(spark: SparkSession, every: float = 5) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect. At
+    most once in so many seconds."""
+    if time.monotonic() - _LAST[0] < every:
+        return
+    _LAST[0] = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or in a local run, where that is unset, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="clauseflow-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
