@@ -5,14 +5,16 @@ The output has as many blocks as the corpus, in shards of a fixed number of slot
 each source is drawn from a multinomial over the target weights; a source's k-th slot over all shards takes the block at
 place k modulo the number of its blocks in a pseudorandom permutation, a new one each time round, so no block comes again before
 all have come.  The permutation is a keyed four-round Feistel network walked until it lands within range: any slot is
-mapped by itself, and nothing of the corpus's size is held or sorted.  Blocks are joined by (source, index).
+mapped by itself, and nothing of the corpus's size is held or sorted.  Where a shard's slots begin in each source's sequence is a prefix
+sum over groups of shards, taken in Spark.  Blocks and slots are joined by (source, index), both sides shuffled: slots grow with the corpus,
+so they are never broadcast.
 
 A token is a run of non-space characters with the space before it; a text's trailing space belongs to none.  Prefix sums are taken in two
 levels (bucket totals, then within a bucket), so a hot source is spread over many tasks.  The text is shuffled twice: to
 its bucket, and to its block.
 
 Defined results: a null source is a source of its own; null, empty and blank texts have no tokens and no place in the mixture;
-rows with equal ids follow each other in the order of their text; a null id comes first and is carried; a source's last
+rows with equal ids follow each other in the order of a hash of their tokens, then of the language; a null id comes first and is carried; a source's last
 block may be short; a target weight for a source without tokens is dropped and the rest scaled; a source without a
 target weight gets none, if weights are given; an empty table gives no rows; further columns are ignored.
 """
@@ -25,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import narrowed, small_side, scratch
+from .common import narrowed, scratch, small_side
 
 BLOCK_TOKENS, SHARD_SLOTS, TEMPERATURE, SEED = 512, 256, 0.7, 17
-ROWS_A_BUCKET = 4000
+ROWS_A_BUCKET, BUCKETS_A_TASK = 500, 8
+GROUP = 1024  # shards whose slots one row of the slot table's plan stands for
 NULL_SOURCE = "\u0000null"
 
 
@@ -48,7 +51,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
         h, m, k = half[todo], mask[todo], key[todo]
         left, right = out[todo] >> h, out[todo] & m
         for r in range(4):
-            x = (right + k + np.uint64(r) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (right + k + np.uint64(r * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(29)
             x *= np.uint64(0x94D049BB133111EB)
             x ^= x >> np.uint64(32)
@@ -80,26 +83,30 @@ def draw_slots(tokens: dict[str, int], weights: dict[str, float] | None, block:
     return names, blocks, w / w.sum(), int(blocks.sum())
 
 
-def slot_table(df_spark, names: list[str], blocks: np.ndarray, weights: np.ndarray, total: int, slots: int, seed: int) -> DataFrame:
+def slot_table(spark: SparkSession, names: list[str], blocks: np.ndarray, weights: np.ndarray, total: int, slots: int, seed: int, group: int = GROUP) -> DataFrame:
     """(shard, slot, source, turn, block) of every slot.
 
-    A shard's place in each source's sequence is the sum of the draws before it. Those sums are kept for every 1024th shard, so
-    that the driver does one cheap pass over the draws and a task repeats no more than its own thousand."""
-    group = 1024
+    A shard's place in each source's sequence is the sum of the draws before it.  Each group of shards adds up its own draws, a prefix
+    sum over groups (a row for every group and source) gives where it starts, and the group is drawn again to place its slots."""
     shards = math.ceil(total / slots)
-    starts, at = [], np.zeros(len(names), np.int64)
-    for s in range(shards):
-        if s % group == 0:
-            starts.append(at.copy())
-        at = at + shard_counts(s, min(slots, total - s * slots), weights, seed)
+    n_groups = math.ceil(shards / group)
 
-    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(g: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        for s in range(g * group, min(shards, (g + 1) * group)):
+            n = min(slots, total - s * slots)
+            yield s, n, shard_counts(s, n, weights, seed)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g in batch.column("id").to_pylist():
-                at = starts[g].copy()
-                for s in range(g * group, min(shards, (g + 1) * group)):
-                    n = min(slots, total - s * slots)
-                    counts = shard_counts(s, n, weights, seed)
+                n = sum(counts for _, _, counts in drawn(g))
+                yield pa.record_batch({"g": pa.array(np.full(len(n), g), pa.int64()), "which": pa.array(range(len(n)), pa.int32()), "n": pa.array(n, pa.int64())})
+
+    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, starts in zip(batch.column("g").to_pylist(), batch.column("starts").to_pylist()):
+                at = np.array([x["start"] for x in starts], np.int64)
+                for s, n, counts in drawn(g):
                     which = np.repeat(np.arange(len(names)), counts)
                     k = at[which] + np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
                     at += counts
@@ -110,8 +117,12 @@ def slot_table(df_spark, names: list[str], blocks: np.ndarray, weights: np.ndarr
                     place = np.random.default_rng([seed, s, 1]).permutation(n)  # sources are interleaved within a shard
                     yield pa.record_batch({"shard": pa.array(np.full(n, s), pa.int64()), "slot": pa.array(place, pa.int32()), "source": pa.array([names[w] for w in which]), "turn": pa.array(turn, pa.int64()), "block": pa.array(block, pa.int64())})
 
-    ids = df_spark.range(0, len(starts), numPartitions=max(1, min(len(starts), 200)))
-    return ids.mapInArrow(slots_of, "shard long, slot int, source string, turn long, block long")
+    draws = spark.range(0, n_groups, numPartitions=max(1, math.ceil(n_groups / 8))).mapInArrow(summed, "g long, which int, n long")
+    before = Window.partitionBy("which").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = draws.select("g", "which", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = starts.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("which", "start"))).alias("starts"))  # as many as there are sources
+    starts = scratch(starts, "draws").repartition(max(1, math.ceil(n_groups / 8)), "g")
+    return starts.mapInArrow(slots_of, "shard long, slot int, source string, turn long, block long")
 
 
 def token_pieces(text: Column) -> Column:
@@ -133,7 +144,7 @@ def segments(docs: DataFrame, block: int) -> tuple[DataFrame, dict[str, int]]:
     totals = {r.source: r.tokens for r in counted.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     starts = small_side(scratch(starts, "starts"), 64)
 
-    moved = docs.where(F.length(F.trim("text")) > 0).repartition(max(1, min(buckets, 100_000)), "bucket")
+    moved = docs.where(F.length(F.trim("text")) > 0).repartition(max(1, math.ceil(buckets / BUCKETS_A_TASK)), "bucket")
     words = moved.withColumn("words", token_pieces(F.col("text"))).drop("text").withColumn("n", F.size("words")).where("n > 0")
     w = Window.partitionBy("bucket", "source").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("words"), "lang").rowsBetween(Window.unboundedPreceding, -1)
     words = words.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
@@ -151,7 +162,7 @@ def mix_segments(docs: DataFrame, weights: dict[str, float] | None = None, block
     parts, tokens = segments(docs, block)
     names, blocks, w, total = draw_slots(tokens, weights, block, slots, alpha, seed)
     table = slot_table(docs.sparkSession, names, blocks, w, total, slots, seed)
-    return parts.join(table, ["source", "block"]).withColumn("source", F.when(F.col("source") != NULL_SOURCE, F.col("source")))
+    return parts.join(table.hint("shuffle_hash"), ["source", "block"]).withColumn("source", F.when(F.col("source") != NULL_SOURCE, F.col("source")))
 
 
 def mix_blocks(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK_TOKENS, slots: int = SHARD_SLOTS, alpha: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -163,7 +174,7 @@ def mix_blocks(docs: DataFrame, weights: dict[str, float] | None = None, block:
     names, blocks, w, total = draw_slots(tokens, weights, block, slots, alpha, seed)
     table = slot_table(docs.sparkSession, names, blocks, w, total, slots, seed)
     packed = parts.groupBy("source", "block").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "doc_id", "text"))).alias("parts"))
-    out = packed.join(table, ["source", "block"])
+    out = packed.join(table.hint("shuffle_hash"), ["source", "block"])
     return out.select(
         "shard", "slot", F.when(F.col("source") != NULL_SOURCE, F.col("source")).alias("source"), "turn", "block", F.col("n_tokens").cast("int").alias("n_tokens"),
         F.col("parts.doc_id").alias("doc_ids"), F.transform("parts.at", lambda a: (a - F.col("block") * block).cast("int")).alias("starts"),
