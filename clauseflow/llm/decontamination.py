@@ -1,7 +1,8 @@
 """Benchmark decontamination: training passages against a BM25 inverted index of the test items.
 
-Every document is cut into overlapping passages, so wide that an item lies whole in one of them, and every passage is a query.
-The index holds, for each term, the items that have it with their BM25 impact, in blocks of items, and the largest
+Every document is cut into overlapping passages, and every passage is a query.  An item is sought in passages of a width that
+depends on its own length alone: items are put into classes by length (up to 64 words, 128, 256 and so on), each class has passages of twice
+that many words, half of which overlap, so that an item lies whole in one of them. The index holds, for each term, the items that have it with their BM25 impact, in blocks of items, and the largest
 impact of each block.  Impacts are divided by the item's score against itself, so a score is the share of the item that the
 passage explains, at most 1, and one threshold serves all items.  Retrieval is block-max WAND over a batch of passages at a
 time: passages whose summed term maxima stay below the threshold are skipped, then blocks of items whose summed block
@@ -11,16 +12,18 @@ A retrieved item counts as leaked if the passage repeats enough of the n-grams o
 An item's question ends with its last question mark that something follows; without one its last sentence is the answer,
 and of a single sentence the last third.
 
-The index of the items goes to every task.  It is built in shards of bounded size; if the items need more than one shard,
-documents pass each shard in turn.  Statistics (document frequency, mean length) are those of all items.
+Indexes are built by Spark, a task for each shard of a class, of bounded size; document frequencies and the mean length are counted over all
+items.  A pass over the documents takes as many shards as fit a bounded broadcast: one pass, unless the benchmark is very large.  How
+items fall into shards changes no result.
 
 Defined results: null or wordless texts and items match nothing; of an item with fewer words than an n-gram, all words count
-as one; a null doc_id is matched like any other and carried as null; a null item_id is reported as -1; repeated documents give repeated rows, and of repeated
-items (equal item_id) each row is an item; an empty benchmark or corpus gives no rows; further columns are ignored.
+as one; a null doc_id is matched like any other and carried as null; a null item_id is reported as -1; repeated documents give repeated rows, of repeated
+items (equal item_id) each row is an item; of passages with equal scores the first is reported; texts and items of any length are read whole; an empty benchmark or corpus gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import discard, narrowed, pieces, scratch, small_side
+from .common import narrowed, pieces, scratch
 
 K1, B, THRESHOLD, OVERLAP, GRAM, BLOCK = 1.2, 0.75, 0.7, 0.6, 3, 16
 STRIDE = 64
-SHARD_BYTES = 8 << 20
+SHARD_BYTES, PASS_BYTES = 8 << 20, 64 << 20
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -69,7 +72,7 @@ class Index:
     block_most: np.ndarray
     question: list[np.ndarray]  # hashes of n-grams, distinct
     answer: list[np.ndarray]
-    longest: int  # words of the longest item
+    stride: int  # passages are of twice as many words
 
 
 def _grams(text: str) -> np.ndarray:
@@ -77,6 +80,11 @@ def _grams(text: str) -> np.ndarray:
     return np.unique(bs.ngrams(h, runs.first, max(1, min(GRAM, len(h))))[0])
 
 
+def strides(n: np.ndarray) -> np.ndarray:
+    """Class of length of items of n words: the least power of two from STRIDE that isn't below."""
+    return (STRIDE * 2.0 ** np.ceil(np.log2(np.maximum(n, 1) / STRIDE)).clip(0)).astype(np.int64)
+
+
 def build_index(ids: list[int], texts: list[str], seen: dict[int, int], n_items: int, mean_words: float) -> Index:
     """seen: in how many of all items each term is."""
     runs, h = bs.words(pa.array(texts, pa.string()))
@@ -97,29 +105,63 @@ def build_index(ids: list[int], texts: list[str], seen: dict[int, int], n_items:
     cut = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]))) if len(code) else np.zeros(0, np.int64)
     block_most = np.maximum.reduceat(impact, cut) if len(cut) else np.zeros(0)
     parts = [split_item(t) for t in texts]
-    return Index(np.array(ids, np.int64), terms, most, first, item, impact, np.searchsorted(code[cut], np.arange(len(terms) + 1)), block[cut], block_most, [_grams(q) for q, _ in parts], [_grams(a) for _, a in parts], int(n.max()) if len(n) else 0)
-
-
-def shards_of(benchmark: DataFrame, limit: int = SHARD_BYTES) -> list[Index]:
-    """The items, a shard at a time, never more than `limit` bytes of text in one."""
-    items = scratch(narrowed(benchmark, item_id="long", text="string").where("text is not null"), "items")
-    seen: dict[int, int] = {}
-    n_items = words = 0
-    held: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in items.orderBy("item_id", "text").toLocalIterator():
-        _, h = bs.words(pa.array([r.text]))
-        if not len(h):
-            continue
-        n_items, words, size = n_items + 1, words + len(h), size + len(r.text.encode())
-        for t in np.unique(h).tolist():
-            seen[t] = seen.get(t, 0) + 1
-        if size > limit and held[-1]:
-            held.append([])
-            size = len(r.text.encode())
-        held[-1].append((r.item_id if r.item_id is not None else -1, r.text))
-    discard(items)
-    return [build_index([i for i, _ in part], [t for _, t in part], seen, n_items, words / n_items) for part in held if part]
+    return Index(np.array(ids, np.int64), terms, most, first, item, impact, np.searchsorted(code[cut], np.arange(len(terms) + 1)), block[cut], block_most, [_grams(q) for q, _ in parts], [_grams(a) for _, a in parts], int(strides(n).max()) if len(n) else STRIDE)
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items that have words, with their number and class of length."""
+    for piece in pieces(batches, "text"):
+        runs, _ = bs.words(piece.column("text"))
+        n = np.diff(runs.first)
+        out = piece.append_column("n", pa.array(n, pa.int64())).append_column("stride", pa.array(strides(n), pa.int64()))
+        yield out.filter(pa.array(n > 0))
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches, "text"):
+        runs, h = bs.words(piece.column("text"))
+        h, row = bs.distinct_by_row(h, runs.row)
+        yield pa.record_batch({"shard": piece.column("shard").take(pa.array(row)), "term": pa.array(h.view(np.int64))})
+
+
+def _built(n_items: int, mean_words: float):
+    def build(key: tuple, items: pa.Table, terms: pa.Table) -> pa.Table:
+        seen = dict(zip(terms.column("term").to_numpy().view(np.uint64).tolist(), terms.column("df").to_pylist()))
+        rows = sorted(zip((-1 if i is None else i for i in items.column("item_id").to_pylist()), items.column("text").to_pylist()))
+        index = build_index([i for i, _ in rows], [t for _, t in rows], seen, n_items, mean_words)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.string()), "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    return build
+
+
+def shards_of(benchmark: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """(shard, index: pickled, n: its bytes), of about `limit` bytes of text and one class of length each."""
+    items = narrowed(benchmark, item_id="long", text="string").where("text is not null").mapInArrow(_measured, "item_id long, text string, n long, stride long")
+    items = scratch(items, "items")
+    n_items, words = items.agg(F.count("*"), F.sum("n")).first()
+    sizes = items.groupBy("stride").agg(F.ceil(F.sum(F.octet_length("text")) / limit).alias("shards"))
+    items = items.join(F.broadcast(sizes), "stride")  # a row for each power of two
+    items = items.select(F.concat_ws("/", "stride", F.pmod(F.xxhash64("item_id", "text"), F.col("shards"))).alias("shard"), "item_id", "text")
+    terms = items.mapInArrow(_terms, "shard string, term long")
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    known = terms.distinct().join(df, "term")
+    built = items.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_built(n_items, (words or 0) / max(1, n_items)), "shard string, index binary")
+    return scratch(built.withColumn("n", F.length("index").cast("long")), "indexes")
+
+
+def passes_of(benchmark: DataFrame, limit: int = SHARD_BYTES, most: int = PASS_BYTES) -> Iterator[list[Index]]:
+    """The indexes, as many at a time as come to `most` bytes, or one."""
+    shards = shards_of(benchmark, limit)
+    groups: list[list[str]] = []
+    size = most
+    for r in shards.select("shard", "n").orderBy("shard").toLocalIterator():
+        if size + r.n > most:
+            groups.append([])
+            size = 0
+        groups[-1].append(r.shard)
+        size += r.n
+    for names in groups:
+        yield [pickle.loads(r["index"]) for r in shards.where(F.col("shard").isin(names)).orderBy("shard").collect()]
 
 
 def _expand(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +261,7 @@ def leaks_in(texts: pa.Array, indexes: list[tuple[Index, Lookup]], t: float, ove
     """(row, item id, first word of the passage, score, overlap with the question, with the answer), the best passage of each item."""
     runs, h = bs.words(texts)
     for index, lookup in indexes:
-        row, lo, hi = windows(runs.first, max(STRIDE, index.longest))
+        row, lo, hi = windows(runs.first, index.stride)
         if not len(row):
             continue
         passage, item, score = retrieve(index, lookup, lookup(h), lo, hi, t)
@@ -241,19 +283,15 @@ _SCHEMA = "doc_id long, item_id long, passage_start int, score double, question_
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """A row for each document and item of the benchmark that it repeats."""
     spark = docs.sparkSession
-    indexes = shards_of(benchmark)
-    if not indexes:
-        return spark.createDataFrame([], _SCHEMA)
     docs = narrowed(docs, doc_id="long", text="string")
     out = None
-    for one in indexes:  # one, unless the benchmark is very large
-        shared = spark.sparkContext.broadcast(one)
+    for indexes in passes_of(benchmark):
+        shared = spark.sparkContext.broadcast(indexes)
 
         def leaks(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            pair = [(index, Lookup(index.terms))]
+            pairs = [(index, Lookup(index.terms)) for index in shared.value]
             for piece in pieces(batches, "text", 4 << 20):
-                found = list(leaks_in(piece.column("text"), pair, threshold, overlap))
+                found = list(leaks_in(piece.column("text"), pairs, threshold, overlap))
                 if found:
                     rows, *rest = (list(x) for x in zip(*found))
                     ids = piece.column("doc_id").take(pa.array(rows))
@@ -262,10 +300,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
         df = docs.mapInArrow(leaks, _SCHEMA)
         out = df if out is None else out.union(df)
-    return out
+    return spark.createDataFrame([], _SCHEMA) if out is None else out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """docs without those that repeat an item. Rows without id can't be told apart by id and stay."""
-    leaked = scratch(find_leaks(docs, benchmark, threshold, overlap).where("doc_id is not null").select("doc_id").distinct(), "leaked")
-    return docs.join(small_side(leaked, 16), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that repeat an item, each row judged by its own text whatever its id; no shuffle."""
+    at = docs.columns.index("text")
+    for indexes in passes_of(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            pairs = [(index, Lookup(index.terms)) for index in shared.value]
+            for batch in batches:
+                keep, done = np.ones(batch.num_rows, bool), 0
+                texts = pa.record_batch({"text": batch.column(at).cast(pa.string())})
+                for piece in pieces([texts], "text", 4 << 20):
+                    for row, *_ in leaks_in(piece.column("text"), pairs, threshold, overlap):
+                        keep[done + row] = False
+                    done += piece.num_rows
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
