@@ -1,19 +1,22 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network with calibrated probabilities.
 
-1. Every word (and run of punctuation) of the whole corpus falls by hash into one of 2**14 buckets; each bucket has a fixed
-   sparse ternary index vector, and its context vector sums the index vectors of its neighbours, two to each side, over all
-   documents.  A task adds up one dense table, so what is shuffled is one table a task, whatever the vocabulary.
+1. Words and runs of punctuation are counted over the whole corpus. Each of the WORDS most frequent has a vector of its own; the table
+   of vectors goes to every task, so its size is bounded, and all rarer words fall by hash into TAIL further vectors, which
+   they share. Each has a fixed sparse ternary index vector made of its hash, and its context vector sums the index vectors of its
+   neighbours, two to each side, over all documents.  A task adds up its own sums, and the sums of tasks are added by ranges of words.
 2. A document is the mean and the spread of its words' context vectors.
 3. A two-layer network is fitted on a bounded sample of labelled documents; the temperature that minimises the log loss of
    held-out ones divides its logits.
 
 Defined results: a null or wordless text has features of zero, is scored like any other and is kept only if its
 probability says so; without labels of both kinds every document has probability null and is kept; a null doc_id is
-scored and carried; repeated rows get equal scores; a text of any length is read whole; further columns are ignored.
+scored and carried; repeated rows get equal scores; labels that repeat or contradict each count; words of equal frequency at the end of
+the vocabulary go by hash; a text of any length is read whole; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,81 +27,122 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from .common import narrowed, pieces
+from .decontamination import Lookup
 
-BUCKETS, DIMS, NONZERO, WINDOW = 1 << 14, 64, 4, 2
-CHUNK = 256  # buckets in a row of the partial table
+WORDS, TAIL, DIMS, NONZERO, WINDOW = 1 << 16, 1 << 12, 64, 4, 2
+CHUNK = 1024  # words in a row of the partial table
 PIECE = 1 << 20
 
 
-def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and signs of the nonzero entries of each bucket's index vector."""
-    rng = np.random.default_rng(seed)
-    at = np.argsort(rng.random((BUCKETS, DIMS)), axis=1)[:, :NONZERO]
-    return at, rng.choice([-1, 1], (BUCKETS, NONZERO))
-
-
-def bucketed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word and run of punctuation, case kept; first of each row."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and run of punctuation, case kept; first of each row."""
     data, offsets = bs.buffer_of(texts)
     runs = bs.Runs(data, offsets, words_only=False)
-    return (runs.hashes() & np.uint64(BUCKETS - 1)).astype(np.int32), runs.first
+    return runs.hashes(), runs.first
+
+
+def vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Hashes, in order, of the most frequent words of all documents."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for piece in pieces(batches, "text", 4 << 20):
+            own, n = np.unique(tokens(piece.column("text"))[0], return_counts=True)
+            names, at = np.unique(np.concatenate([names, own]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([times, n]), minlength=len(names)).astype(np.int64)
+            if len(names) > 2_000_000:  # what a task holds is bounded: Spark adds up the rest
+                yield pa.record_batch({"word": pa.array(names.view(np.int64)), "n": pa.array(times)})
+                names, times = names[:0], times[:0]
+        yield pa.record_batch({"word": pa.array(names.view(np.int64)), "n": pa.array(times)})
+
+    rows = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word").toPandas()
+    return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
+
+
+class Coder:
+    """Number of each word's vector: its own, or that of its bucket behind them."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.lookup = words, Lookup(words)
+        self.size = len(words) + TAIL
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        code = self.lookup(h)
+        rare = code < 0
+        code[rare] = len(self.words) + (h[rare] & np.uint64(TAIL - 1)).astype(np.int32)
+        return code
+
+    def index_vectors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and signs of the nonzero entries of each index vector."""
+        h = np.concatenate([self.words, bs.mix(np.arange(TAIL, dtype=np.uint64))])
+        x = np.stack([bs.mix(h + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) for k in range(NONZERO)], axis=1)
+        return (x >> np.uint64(32)).astype(np.int64) % DIMS, 1.0 - 2.0 * (x & np.uint64(1)).astype(np.float64)
 
 
-def add_contexts(total: np.ndarray, bucket: np.ndarray, first: np.ndarray, at: np.ndarray, sign: np.ndarray) -> None:
+def contexts(code: np.ndarray, first: np.ndarray, at: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of a batch, sums of their neighbours' index vectors)."""
     row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
-    flat = total.reshape(-1)
+    own, local = np.unique(code, return_inverse=True)
+    flat = np.zeros(len(own) * DIMS)
     for step in range(1, WINDOW + 1):
-        if len(bucket) <= step:
+        if len(code) <= step:
             break
         same = row[step:] == row[:-step]
-        left, right = bucket[:-step][same], bucket[step:][same]
+        left, right = local[:-step][same], local[step:][same]
         for a, b in ((left, right), (right, left)):
+            word = own[b]
             for k in range(NONZERO):
-                flat += np.bincount(a * DIMS + at[b, k], sign[b, k], minlength=flat.size)
+                flat += np.bincount(a * DIMS + at[word, k], sign[word, k], minlength=flat.size)
+    return own, flat.reshape(-1, DIMS)
 
 
-def context_table(docs: DataFrame) -> np.ndarray:
-    """Unit context vector of each bucket, over all documents. Fixed size, so it may go to the driver."""
-    at, sign = index_vectors()
+def context_table(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Unit context vector of each word, over all documents. Of bounded size, so it may go to the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    size = len(words) + TAIL
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, DIMS))
-        seen = False
+        coder = Coder(shared.value)
+        at, sign = coder.index_vectors()
+        total, seen = np.zeros((size, DIMS), np.int32), np.zeros(size, bool)
         for piece in pieces(batches, "text", 4 << 20):
-            bucket, first = bucketed(piece.column("text"))
-            add_contexts(total, bucket, first, at, sign)
-            seen = True
-        if seen:
-            whole = total.astype(np.int32)
-            parts = [whole[k : k + CHUNK].tobytes() for k in range(0, BUCKETS, CHUNK)]
-            yield pa.record_batch({"chunk": pa.array(range(len(parts)), pa.int32()), "part": pa.array(parts, pa.binary())})
+            h, first = tokens(piece.column("text"))
+            own, sums = contexts(coder(h), first, at, sign)
+            total[own] += sums.astype(np.int32)
+            seen[own] = True
+        codes = np.flatnonzero(seen)
+        for part in np.split(codes, np.searchsorted(codes, np.arange(CHUNK, size, CHUNK))):
+            if len(part):
+                yield pa.record_batch({"chunk": pa.array([int(part[0]) // CHUNK], pa.int32()), "codes": pa.array([part.tobytes()], pa.binary()), "part": pa.array([total[part].tobytes()], pa.binary())})
 
     def summed(key: tuple, t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in t.column("part"))
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros((CHUNK, DIMS), np.int64)
+        for codes, part in zip(t.column("codes"), t.column("part")):
+            total[np.frombuffer(codes.as_buffer(), np.int64) % CHUNK] += np.frombuffer(part.as_buffer(), np.int32).reshape(-1, DIMS)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "unit": pa.array([(total / np.maximum(norm, 1)).astype(np.float32).tobytes()], pa.binary())})
 
     rows = (
         docs.select("text")
-        .mapInArrow(partial, "chunk int, part binary")
+        .mapInArrow(partial, "chunk int, codes binary, part binary")
         .groupBy("chunk")
-        .applyInArrow(summed, "chunk int, total binary")
+        .applyInArrow(summed, "chunk int, unit binary")
         .collect()
     )
-    table = np.zeros((BUCKETS, DIMS))
+    table = np.zeros((math.ceil(size / CHUNK) * CHUNK, DIMS), np.float32)
     for r in rows:
-        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.total, np.int64).reshape(-1, DIMS)
-    norm = np.linalg.norm(table, axis=1, keepdims=True)
-    return (table / np.maximum(norm, 1)).astype(np.float32)
+        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.unit, np.float32).reshape(-1, DIMS)
+    return table[:size]
 
 
-def features(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+def features(texts: pa.Array, coder: Coder, table: np.ndarray) -> np.ndarray:
     """Mean and spread of the context vectors of each text's words."""
-    bucket, first = bucketed(texts)
+    h, first = tokens(texts)
     counts = np.diff(first)
     out = np.zeros((len(counts), 2 * DIMS), np.float32)
     have = counts > 0
     if have.any():
-        v = table[bucket]
+        v = table[coder(h)]
         at = first[:-1][have]
         n = counts[have][:, None].astype(np.float32)
         mean = np.add.reduceat(v, at, axis=0) / n
@@ -169,17 +213,18 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, words: np.ndarray, table: np.ndarray, sample: int) -> Network | None:
     """Fits on at most `sample` labelled documents, the first in order of the hash of their id."""
     chosen = (
         narrowed(labels, doc_id="long", quality="int").where("doc_id is not null and quality is not null")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast((words, table))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(shared.value[0])
         for piece in pieces(batches, "text", PIECE):
-            x = features(piece.column("text"), shared.value)
+            x = features(piece.column("text"), coder, shared.value[1])
             yield pa.record_batch({"doc_id": piece.column("doc_id"), "y": piece.column("quality"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(featured, "doc_id long, y int, x binary").toPandas()
@@ -189,9 +234,10 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int) ->
     return fit_network(np.stack([np.frombuffer(b, np.float32) for b in rows.x]), rows.y.to_numpy())
 
 
-def model(docs: DataFrame, labels: DataFrame, sample: int = 10000) -> tuple[np.ndarray, Network | None]:
-    table = context_table(docs)
-    return table, train(docs, labels, table, sample)
+def model(docs: DataFrame, labels: DataFrame, sample: int = 10000) -> tuple[np.ndarray, np.ndarray, Network | None]:
+    words = vocabulary(docs)
+    table = context_table(docs, words)
+    return words, table, train(docs, labels, words, table, sample)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 10000, threshold: float = 0.4) -> DataFrame:
@@ -200,9 +246,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 10000, thres
     shared = docs.sparkSession.sparkContext.broadcast(model(docs, labels, sample))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, net = shared.value
+        words, table, net = shared.value
+        coder = Coder(words)
         for piece in pieces(batches, "text", PIECE):
-            p = None if net is None else net.probability(features(piece.column("text"), table))
+            p = None if net is None else net.probability(features(piece.column("text"), coder, table))
             n = piece.num_rows
             yield pa.record_batch({"doc_id": piece.column("doc_id"), "p_good": pa.nulls(n, pa.float64()) if p is None else pa.array(p, pa.float64()), "keep": pa.array(np.ones(n, bool) if p is None else p >= threshold)})
 
@@ -216,13 +263,14 @@ def filter_quality(docs: DataFrame, labels: DataFrame, sample: int = 10000, thre
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, net = shared.value
+        words, table, net = shared.value
+        coder = Coder(words)
         for batch in batches:
             if net is None:
                 yield batch
                 continue
             texts = pa.record_batch({"text": batch.column(at).cast(pa.string())})
-            keep = [net.probability(features(p.column("text"), table)) >= threshold for p in pieces([texts], "text", PIECE)]
+            keep = [net.probability(features(p.column("text"), coder, table)) >= threshold for p in pieces([texts], "text", PIECE)]
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
     return docs.mapInArrow(kept, docs.schema)
