@@ -11,7 +11,7 @@ bounded by the sample; scoring is one pass without a shuffle.
 
 Defined results: a null or wordless text has no sentence and the probability of the bias alone, below any threshold; without
 labels of both kinds probabilities are null and nothing is toxic; a null doc_id is scored and carried; repeated rows get equal
-scores; labels that repeat or contradict each count; a text of any length is read whole, sentences of over 64 words in
+scores; of sentences with equal scores the first is the worst; labels that repeat or contradict each count; a text of any length is read whole, sentences of over 64 words in
 parts of 64; further columns are ignored; an empty table gives no rows.
 """
 
@@ -30,6 +30,8 @@ from .common import discard, narrowed, pieces, scratch
 from .decontamination import Lookup
 
 SAMPLE, LONGEST = 6000, 64
+#: Of the sample's words those enter the model that are in so many toxic documents, and whose smoothed log ratio of shares starts that far from zero.
+MIN_DOCUMENTS, MIN_WEIGHT = 3, 0.3
 PIECE = 4 << 20
 
 #: Terms that name groups, by kind; a term is swapped for others of its kind.
@@ -40,6 +42,22 @@ IDENTITY: dict[str, list[str]] = {
     "orientation": "gay lesbian bisexual straight heterosexual homosexual queer lgbt".split(),
     "ability": "disabled deaf blind autistic handicapped paralyzed".split(),
     "age": "old young elderly teenage senior".split(),
+    # the same kinds in German, French and Spanish; a term is swapped within its language
+    "faith de": "muslim muslime muslimin muslimische christ christen christin christliche jude juden jüdin jüdische hindu hindus buddhist buddhisten katholik katholiken protestant protestanten atheist atheisten".split(),
+    "gender de": "frau frauen mann männer mädchen junge jungen weiblich männlich nichtbinär trans".split(),
+    "origin de": "afrikaner araber türke türken türkisch pole polen chinese chinesen inder europäer einwanderer migrant migranten flüchtling flüchtlinge geflüchtete roma sinti".split(),
+    "orientation de": "schwul schwule lesbisch lesben bisexuell heterosexuell homosexuell queer".split(),
+    "ability de": "behindert behinderte taub blind autistisch gelähmt".split(),
+    "faith fr": "musulman musulmans musulmane chrétien chrétiens chrétienne juif juifs juive hindou hindous bouddhiste bouddhistes catholique catholiques protestant protestants athée athées".split(),
+    "gender fr": "femme femmes homme hommes fille filles garçon garçons masculin féminin trans".split(),
+    "origin fr": "africain africains arabe arabes asiatique asiatiques chinois indien européen immigré immigrés migrant migrants réfugié réfugiés noir noirs blanc blancs turc turcs polonais".split(),
+    "orientation fr": "gay lesbienne lesbiennes bisexuel hétérosexuel homosexuel homosexuels queer".split(),
+    "ability fr": "handicapé handicapés sourd sourds aveugle aveugles autiste autistes".split(),
+    "faith es": "musulmán musulmanes musulmana cristiano cristianos cristiana judío judíos judía hindú hindúes budista budistas católico católicos protestante protestantes ateo ateos".split(),
+    "gender es": "mujer mujeres hombre hombres niña niñas niño niños femenino masculino trans".split(),
+    "origin es": "africano africanos árabe árabes asiático asiáticos chino chinos indio europeo inmigrante inmigrantes migrante migrantes refugiado refugiados negro negros blanco blancos turco turcos polaco gitano gitanos".split(),
+    "orientation es": "gay lesbiana lesbianas bisexual heterosexual homosexual homosexuales queer".split(),
+    "ability es": "discapacitado discapacitados sordo sordos ciego ciegos autista autistas".split(),
 }
 
 
@@ -150,12 +168,12 @@ def parts(y: np.ndarray, have: np.ndarray, seed: int = 5) -> tuple[np.ndarray, n
 
 
 def vocabulary(y: np.ndarray, words_of: list[np.ndarray], mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of what speaks for toxicity at all, and of the identity terms; weights to start from: smoothed log ratios of document shares)."""
+    """(hashes of what speaks for or against toxicity, and of the identity terms; weights to start from: smoothed log ratios of document shares)."""
     terms = identity_hashes()
     toxic = [w for w, k, m in zip(words_of, y, mask) if m and k == 1]
     clean = [w for w, k, m in zip(words_of, y, mask) if m and k == 0]
     names, pos = np.unique(np.concatenate([*toxic, np.zeros(0, np.uint64)]), return_counts=True)
-    seldom = pos < min(3, len(toxic))
+    seldom = pos < min(MIN_DOCUMENTS, len(toxic))
     names, pos = names[~seldom], pos[~seldom]
     neg = np.zeros(len(names), np.int64)
     for w in clean:
@@ -164,7 +182,7 @@ def vocabulary(y: np.ndarray, words_of: list[np.ndarray], mask: np.ndarray) -> t
         if len(names):
             neg[at[names[at] == w]] += 1
     weight = np.clip(np.log((pos / max(1, len(toxic)) + 0.002) / (neg / max(1, len(clean)) + 0.002)), -1, 3)
-    keep = (weight >= 0.3) & ~np.isin(names, terms)
+    keep = (np.abs(weight) >= MIN_WEIGHT) & ~np.isin(names, terms)
     words = np.concatenate([names[keep], terms])
     o = np.argsort(words)
     return words[o], np.concatenate([weight[keep], np.zeros(len(terms))])[o]
