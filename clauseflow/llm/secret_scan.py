@@ -1,7 +1,7 @@
 """Secret scans by novelty under a primed compressor.
 
 A candidate is a run of MIN_LENGTH or more signs that keys and tokens are made of, near a word of sensitive context (before it, on the
-same line or the one before).  Its novelty is what it costs a zstandard compressor in bytes, beyond what an empty input
+same line or the one before, or before the line that it continues, as in key blocks).  Its novelty is what it costs a zstandard compressor in bytes, beyond what an empty input
 costs, when the compressor is primed with the identifiers of programs, the vocabulary of sensitive contexts, and the text around the candidate (without the candidate
 itself, wherever it stands).  A name, a path or a placeholder is made of what the dictionary or the text around has, and costs
 little; a random string costs nearly its entropy.  A candidate is reported if its novelty comes to enough bits a sign, and if
@@ -10,7 +10,7 @@ its signs aren't plain words.
 Only runs next to sensitive context are compressed; finding them is one vectorised pass over each text, without a shuffle.
 
 Defined results: null and empty texts have no candidates; a secret that occurs several times in a text is reported at each place;
-repeated rows give repeated reports; a null doc_id is carried; texts of any length are read whole, a candidate of any
+repeated rows give repeated reports; a novelty equal to the bound is reported; a null doc_id is carried; texts of any length are read whole, a candidate of any
 length is compressed whole; further columns are ignored; an empty table gives no rows.  The secret itself isn't returned: only where it is, how
 long, and the start of its SHA-256.
 """
@@ -123,6 +123,7 @@ def secrets_in(texts: pa.Array, bits: float = BITS_A_SIGN, identifiers: bytes =
         return
     raw = data.tobytes()
     before = 0
+    block: tuple[int, int, bytes] = (-1, 0, b"")  # row, end and context of the secret just reported
     for r, lo, hi in zip(row.tolist(), start.tolist(), end.tolist()):
         first, last = int(offsets[r]), int(offsets[r + 1])
         head = raw[max(first, lo - BEFORE, before) : lo]  # a context belongs to the secret that follows it; names and paths between are part of it
@@ -131,6 +132,8 @@ def secrets_in(texts: pa.Array, bits: float = BITS_A_SIGN, identifiers: bytes =
         found = [m.group(1) for m in CONTEXT.finditer(whole)]
         if not found:
             found = [m.group(1) for m in CONTEXT.finditer(assigned_name(raw[lo:hi]))]  # name=value without a space
+            if not found and block[0] == r and not raw[block[1] : lo].strip():
+                found = [block[2]]  # the next line of a key of many lines
             if not found:
                 continue
         end_of_run = hi
@@ -142,7 +145,7 @@ def secrets_in(texts: pa.Array, bits: float = BITS_A_SIGN, identifiers: bytes =
         cost = marginal_bytes(token, around, identifiers)
         each = 8 * cost / len(token)
         if each >= bits:
-            before = end_of_run
+            before, block = end_of_run, (r, end_of_run, found[-1])
             yield r, lo - first, hi - lo, found[-1].decode("utf-8", "replace").lower(), cost, each, hashlib.sha256(token).hexdigest()[:16]
 
 
