@@ -58,30 +58,65 @@ def brute_pairs(rows, t=0.5):
     return out
 
 
-def found_pairs(df):
-    return sorted((r.doc_a, r.doc_b, r.overlap, round(r.jaccard, 9)) for r in df.collect())
+def brute_classes(rows, t=0.5):
+    """(doc_id, class_id, n_copies, n_links) by comparing each two sets."""
+    sets = gram_sets(rows)
+    of = sorted({(i, x) for i, own in sets.items() for x in own} | {(i, (i,)) for i, text in rows if i is not None and not words(text or "")}, key=str)
+    names = {x for _, x in of}
+    near = {x: {y for y in names if isinstance(x, frozenset) and isinstance(y, frozenset) and x != y and len(x & y) / len(x | y) >= t} for x in names}
+    out = []
+    for i, x in of:
+        reach, todo = {x}, [x]
+        while todo:
+            new = near[todo.pop()] - reach
+            reach |= new
+            todo += new
+        out.append((i, min(d for d, y in of if y in reach), sum(y == x for _, y in of), len(near[x])))
+    return sorted(out)
+
 
+def found_classes(df):
+    return sorted(tuple(r) for r in df.select("doc_id", "class_id", "n_copies", "n_links").collect())
 
-@pytest.mark.parametrize("fragment", [2_000_000, 500])
-def test_join_equals_brute_force(docs, fragment):
+
+@pytest.mark.parametrize("sizes", [{}, {"fragment": 1500, "cuts": 7, "hot": 1.1, "t": 0.3}, {"tile": 3, "fragment": 20_000}])
+def test_join_equals_brute_force(docs, sizes):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert found_pairs(ngram_join.ngram_jaccard_join(docs, fragment=fragment)) == sorted(brute_pairs(rows))
+    assert found_classes(ngram_join.ngram_jaccard_join(docs, **sizes)) == brute_classes(rows, sizes.get("t", 0.5))
 
 
 def test_join_of_awkward_rows(awkward, nothing, spark):
-    got = found_pairs(ngram_join.ngram_jaccard_join(awkward))
-    assert got == [(1, 7, 4, 1.0)]
-    assert found_pairs(ngram_join.ngram_jaccard_join(nothing)) == []
+    rows = [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()] if len(set(awkward.columns)) == len(awkward.columns) else []
+    got = found_classes(ngram_join.ngram_jaccard_join(awkward))
+    assert got == brute_classes(rows) and (7, 1, 2, 0) in got
+    assert found_classes(ngram_join.ngram_jaccard_join(nothing)) == []
     two = spark.createDataFrame([(1, "a b c d"), (1, "a b c d e"), (2, "a b c d")], "doc_id long, text string")
-    assert found_pairs(ngram_join.ngram_jaccard_join(two)) == [(1, 2, 2, round(2 / 3, 9)), (1, 2, 2, 1.0)]
+    assert found_classes(ngram_join.ngram_jaccard_join(two)) == [(1, 1, 1, 1), (1, 1, 2, 1), (2, 1, 2, 1)]
 
 
 def test_join_of_many_copies(spark):
     base = "one two three four five six seven eight nine ten"
+    rng = random.Random(7)
     rows = [(k, base) for k in range(60)] + [(100 + k, base + f" eleven{k}") for k in range(20)] + [(200, "nothing in common with those at all")]
+    long = [f"w{k}" for k in range(60)]
+    for k in range(80):  # near copies at all distances from their source
+        own = list(long)
+        for _ in range(rng.randrange(9)):
+            own[rng.randrange(60)] = f"x{rng.randrange(5)}"
+        rows.append((300 + k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_classes(ngram_join.ngram_jaccard_join(df, tile=4)) == brute_classes(rows)
+    assert sorted(r.doc_id for r in ngram_join.drop_near_copies(df.where("doc_id <= 200")).collect()) == [0, 200]
+
+
+def test_certain_links_are_not_formed_as_pairs(spark):
+    """Near copies of one text that change one word each: their links follow from those with the text."""
+    long = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(w if i != k else f"new{k % 7}" for i, w in enumerate(long))) for k in range(150)] + [(999, " ".join(long))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found_pairs(ngram_join.ngram_jaccard_join(df)) == sorted(brute_pairs(rows))
-    assert sorted(r.doc_id for r in ngram_join.drop_near_copies(df).collect()) == [0, 200]
+    _, stars, found = ngram_join.similar_sets(df)
+    assert stars.count() == 151 and stars.select("star").distinct().count() == 1 and found.count() == 0
+    assert found_classes(ngram_join.ngram_jaccard_join(df)) == sorted((i, 0, 1, 150) for i, _ in rows)
 
 
 def test_one_of_each_group_stays(docs, awkward):
@@ -99,7 +134,10 @@ def test_one_of_each_group_stays(docs, awkward):
     assert sorted(r.doc_id for r in ngram_join.drop_near_copies(docs).collect()) == sorted({root(i) for i, _ in rows})
     kept = ngram_join.drop_near_copies(awkward)
     assert kept.columns == awkward.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 1, 2, 3, None, 4, 5, 6, None])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 1, 2, 3, 4, 5, 6, None])
+    same = awkward.sparkSession.createDataFrame([(None, "a b c d e", 1), (None, "a b c d e", 2), (None, None, 3), (None, "", 4), (None, None, 5), (None, "x y z w", 6), (9, "x y z w", 7)], "doc_id long, text string, _key int")
+    out = [(r.doc_id, r.text) for r in ngram_join.drop_near_copies(same.drop("_key")).collect()]
+    assert Counter(out) == Counter([(None, "a b c d e"), (None, None), (None, None), (None, ""), (9, "x y z w")])
 
 
 def test_components(spark):
@@ -115,8 +153,11 @@ def test_components(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    table = spark.createDataFrame([*edges, (None, 3), (4, None)], "a long, b long").repartition(6)
+    for few in (0, 2_000_000):
+        got = {r.node: r.component for r in components(table, few=few).collect()}
+        assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    assert components(table.limit(0)).count() == 0
 
 
 # --- mixing
@@ -158,6 +199,45 @@ def test_equal_weights_rebuild_the_documents(spark):
     assert dict(text) == {k: t for k, t, *_ in rows}
 
 
+def brute_mixture(rows, block, slots, seed):
+    """All slots by one loop over the streams: (shard, slot) -> (source, turn, block, tokens). rows: (place, id, text, source)."""
+    streams = defaultdict(list)
+    for _, _, text, source in sorted(rows, key=lambda r: r[:2]):
+        streams[source] += (text or "").split()
+    names = sorted(s for s, w in streams.items() if w)
+    n = {s: -(-len(streams[s]) // block) for s in names}
+    w = np.array([len(streams[s]) ** mixing.TEMPERATURE for s in names])
+    total, at, out = sum(n.values()), dict.fromkeys(names, 0), {}
+    for shard in range(-(-total // slots)):
+        size = min(slots, total - shard * slots)
+        counts = np.random.default_rng([seed, shard]).multinomial(size, w / w.sum())
+        place = iter(np.random.default_rng([seed, shard, 1]).permutation(size).tolist())
+        for s, c in zip(names, counts):
+            for _ in range(c):
+                turn, k = divmod(at[s], n[s])
+                at[s] += 1
+                key = np.array([mixing.source_key(s, turn, seed)], np.uint64)
+                b = int(mixing.permuted(np.array([k]), np.array([n[s]]), key)[0])
+                out[shard, next(place)] = (s, turn, b, streams[s][b * block : (b + 1) * block])
+    return out
+
+
+@pytest.mark.parametrize("group", [1024, 3])
+def test_mixture_equals_brute_force(docs, group, monkeypatch):
+    monkeypatch.setattr(mixing.slot_table, "__defaults__", (group,))
+    buckets = max(1, math.ceil(docs.count() / mixing.ROWS_A_BUCKET))
+    rows = [(r.b, r.doc_id, r.text, r.source) for r in docs.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("b")).collect()]
+    want = brute_mixture(rows, 64, 16, mixing.SEED)
+    got = {(r.shard, r.slot): (r.source, r.turn, r.block, r.text.split()) for r in mixing.mix_blocks(docs, block=64, slots=16).collect()}
+    assert got == want
+
+
+def test_slots_are_not_broadcast(docs, capsys):
+    mixing.mix_blocks(docs, block=64, slots=16).explain()
+    plan = capsys.readouterr().out
+    assert "ShuffledHashJoin" in plan and not re.search(r"BroadcastHashJoin \[source#\d+, block", plan)
+
+
 def test_mixing_of_awkward_rows(awkward, nothing):
     out = mixing.mix_blocks(awkward, block=1000)
     assert {r.source for r in out.select("source").distinct().collect()} <= {"a", "b", "c", None} and out.count() > 0
@@ -210,13 +290,13 @@ def brute_scores(items, passage):
 def test_wand_retrieves_what_full_scoring_does(docs, spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.orderBy("item_id", "text").collect()]
-    (index,) = decontamination.shards_of(bench)
+    ((index,),) = decontamination.passes_of(bench)
     lookup = decontamination.Lookup(index.terms)
     import pyarrow as pa
 
     texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
     runs, h = __import__("clauseflow.llm.bytescan", fromlist=["words"]).words(pa.array(texts))
-    row, lo, hi = decontamination.windows(runs.first, max(decontamination.STRIDE, index.longest))
+    row, lo, hi = decontamination.windows(runs.first, index.stride)
     for t in (0.2, 0.7):
         p, i, s = decontamination.retrieve(index, lookup, lookup(h), lo, hi, t)
         got = {(int(a), int(index.items[b])): round(float(c), 6) for a, b, c in zip(p, i, s)}
@@ -241,10 +321,28 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     got = Counter((r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench).collect())
     assert got == Counter({(1, 1): 1, (None, 2): 1, (5, 2): 2, (7, -1): 1})
     kept = decontamination.drop_leaks(df, bench)
-    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter([2, 3, 4, None, 6])
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter([2, 3, 4, 6])
     assert decontamination.find_leaks(df, bench.limit(0)).count() == 0 and decontamination.drop_leaks(df.limit(0), bench).count() == 0
 
 
+def test_no_item_changes_another_items_leaks(spark, monkeypatch):
+    item = (1, "What is the tallest mountain of the southern lands? It is Mount Karrabar in the east.")
+    long = (2, " ".join(f"other{k}" for k in range(700)) + ". The end of it.")
+    question, answer = item[1].split("? ")
+    far = " ".join(f"word{k}" for k in range(200))
+    rows = [(1, f"{question}? {far} {answer}"), (2, item[1]), (3, f"{far} {far} {item[1]} {far}"), (4, long[1]), (5, f"{far} {long[1]}"), (6, " ".join(long[1].split()[:300])), (7, (far + " ") * 3000 + item[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    find = lambda items: {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert find([item]) == {(2, 1), (3, 1), (7, 1)}
+    both = {(2, 1), (3, 1), (7, 1), (4, 2), (5, 2)}
+    assert find([item, long]) == both
+    monkeypatch.setattr(decontamination.shards_of, "__defaults__", (20,))  # a shard for each item, a pass for each shard
+    monkeypatch.setattr(decontamination.passes_of, "__defaults__", (20, 20))
+    assert find([item, long]) == both
+    bench = spark.createDataFrame([item, long, (3, "Who wrote the ninth letter? Nobody knows for sure.")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()) == [1, 6]
+
+
 # --- classifiers
 
 
@@ -304,6 +402,10 @@ def test_secret_scan_of_awkward_rows(awkward, nothing, spark):
     df = spark.createDataFrame([(None, f"token = {key}"), (3, "é " * 1000 + f"api_key: {key} and api_key: {key}")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0), r.start, r.length) for r in secret_scan.scan_secrets(df).collect())
     assert got == [(0, 8, 40), (3, 3009, 40), (3, 3063, 40)]
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64)) for _ in range(6)]
+    block = spark.createDataFrame([(1, "secret key:\n" + "\n".join(lines) + "\nand " + lines[0][::-1])], "doc_id long, text string")
+    assert [r.start for r in secret_scan.scan_secrets(block).orderBy("start").collect()] == [12 + 65 * k for k in range(6)]
 
 
 def test_extraction_keeps_articles(spark):
