@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ontology as o
 from ..functions import text as t
+from .labels import labels_sql, rule_labels
 
 COLUMNS = "policy sid actor action modality data_type purpose recipient condition temporality temporality_value is_negative source_text source_section scope".split()
 FINDINGS = "pattern site vendor statement_1 statement_2 verdict severity n_violations explanation".split()
@@ -42,6 +43,13 @@ DERIVED = {
     "family": o.case("purpose", o.group_of(), "''"),
     "actor_key": "regexp_replace(lower(actor), '[^a-z0-9]+', ''{g})",
     "broad": f"(data_type IN {listed(o.BROAD_TYPES)})",
+    #: How much a statement says, and how legibly: a curator's measure of evidence.
+    "evidence": (
+        f"(CASE WHEN data_type = '' THEN 0 WHEN data_type IN {listed(o.BROAD_TYPES)} THEN 1 ELSE 3 END + CASE WHEN purpose <> '' THEN 2 ELSE 0 END + CASE WHEN recipient <> '' THEN 1 ELSE 0 END"
+        " + CASE WHEN condition <> 'unspecified' THEN 1 ELSE 0 END + CASE WHEN temporality <> 'unspecified' THEN 1 ELSE 0 END + CASE WHEN is_negative THEN 2 ELSE 0 END"
+        " + CASE WHEN length(trim(source_text)) BETWEEN 1 AND 280 THEN 2 WHEN length(trim(source_text)) <= 500 THEN 1 WHEN length(trim(source_text)) >= 900 THEN -2 WHEN length(trim(source_text)) >= 650 THEN -1 ELSE 0 END"
+        " - CASE WHEN contains(source_text, '|') THEN 2 ELSE 0 END - CASE WHEN contains(lower(source_text), 'controller') AND contains(lower(source_text), 'responsible for') THEN 2 ELSE 0 END)"
+    ),
 }
 
 
@@ -54,6 +62,7 @@ def flagged(statements: DataFrame) -> DataFrame:
         {
             "days": t.duration_days(F.col("temporality_value")),
             "open_ended": t.OPEN_ENDED(F.col("temporality_value")),
+            "categories": rule_labels(*map(F.col, ("source_text", "action", "purpose", "recipient", "temporality", "data_type"))),
         }
     )
 
@@ -63,7 +72,7 @@ def flagged_sql(source: str) -> str:
     flags = ", ".join(f"{p.sql(both if k in _WITH_SECTION else 'source_text')} AS {k}" for k, p in FLAGS.items())
     derived = ", ".join(f"{e.replace('{g}', ', ' + chr(39) + 'g' + chr(39))} AS {k}" for k, e in DERIVED.items())
     return (
-        f"SELECT x.*, {flags}, {derived}, {t.duration_days_sql('temporality_value')} AS days, {t.OPEN_ENDED.sql('temporality_value')} AS open_ended FROM {source} x"
+        f"SELECT x.*, {flags}, {derived}, {t.duration_days_sql('temporality_value')} AS days, {t.OPEN_ENDED.sql('temporality_value')} AS open_ended FROM ({labels_sql(source)}) x"
     )
 
 
@@ -75,17 +84,22 @@ def related_frame(df: DataFrame) -> DataFrame:
     return o.frame(df.sparkSession, o.related(), "a string, b string")
 
 
-def meet(sites: DataFrame, vendors: DataFrame, pairs: DataFrame, same_action: bool = False) -> DataFrame:
+def _ways(df: DataFrame, kind: str, up: str, down: str) -> DataFrame:
+    """df once for its type (way `down`) and once for each type above it (way `up`; with down == up the type itself is among those)."""
+    above = o.frame(df.sparkSession, [(b, a, d) for a, b, d in o.closure()], "below string, above string, steps int")
+    rows = df.join(above, F.col(kind) == F.col("below")).withColumn("way", F.explode(F.when(F.col("steps") == 0, F.array(F.lit(up), F.lit(down))).otherwise(F.array(F.lit(up)))))
+    return rows.drop("below")
+
+
+def meet(sites: DataFrame, vendors: DataFrame, pairs: DataFrame) -> DataFrame:
     """Website statements (w_) beside the vendors' (v_) of their pairs, where types are equal or one subsumes the other.
 
-    The vendor side is joined by (vendor, type) and, if asked, by action."""
-    w = pairs.join(prefixed(sites, "w_"), F.col("site") == F.col("w_policy"))
-    w = w.join(related_frame(sites), F.col("w_data_type") == F.col("a"))
-    v = prefixed(vendors, "v_")
-    on = (F.col("vendor") == F.col("v_policy")) & (F.col("b") == F.col("v_data_type"))
-    if same_action:
-        on = on & (F.col("w_action") == F.col("v_action"))
-    return w.join(v, on)
+    A type relates to those above it and those below it.  So either side is expanded by the few types above its own, never by all that a
+    broad type has below it, and the join is one on (site, way, type), with as many rows as there are meetings."""
+    v = _ways(prefixed(vendors, "v_"), "v_data_type", "v above", "v").where("way = 'v above' or steps = 0").withColumnsRenamed({"above": "kind"}).drop("steps")
+    w = _ways(prefixed(sites, "w_"), "w_data_type", "v", "v above").where("way = 'v above' or steps > 0").withColumnsRenamed({"above": "kind"}).drop("steps")
+    seen = pairs.join(v, F.col("vendor") == F.col("v_policy"))
+    return seen.join(w.withColumn("site", F.col("w_policy")), ["site", "way", "kind"]).drop("way", "kind")
 
 
 MEET_SQL = "pairs JOIN fw w ON w.policy = pairs.site JOIN related r ON r.a = w.data_type JOIN fv v ON v.policy = pairs.vendor AND v.data_type = r.b"
@@ -235,6 +249,9 @@ def modality_within_sql() -> str:
 
 USABLE = "(NOT {1}prohibitive AND {1}purpose <> '' AND {1}exclusive AND NOT {1}self_reference AND NOT {1}only_retain)"
 OTHER = "(NOT {2}prohibitive AND {2}purpose <> '' AND NOT ({2}grounds AND {2}cited))"
+#: Statements that both have categories share one.
+ONE_CATEGORY = "({overlap}({1}categories, {2}categories) OR {size}({1}categories) = 0 OR {size}({2}categories) = 0)"
+SPARK_CATEGORY, SQL_CATEGORY = (ONE_CATEGORY.replace("{overlap}", a).replace("{size}", b) for a, b in (("arrays_overlap", "size"), ("list_has_any", "len")))
 CONFLICT = "({1}purpose <> {2}purpose AND ({1}family = '' OR {2}family = '' OR {1}family <> {2}family))"
 EXCLUSIVITY_TEXT = "{1}data_type || ' is kept to ' || {1}purpose || ' but also used for ' || {2}purpose || '.'"
 
@@ -252,7 +269,7 @@ def exclusivity_cross(sites: DataFrame, vendors: DataFrame, pairs: DataFrame) ->
     usable, other = (lambda df, p: df.where(on(p, "", "")) for _ in range(2))
 
     def directed(first: str, second: str, met: DataFrame, turn: int) -> DataFrame:
-        df = met.where(on(f"{CROSS_SCOPE} AND {CONFLICT}", first, second))
+        df = met.where(on(f"{CROSS_SCOPE} AND {CONFLICT} AND {SPARK_CATEGORY}", first, second))
         return df.select(
             "site", "vendor", F.lit(turn).alias("turn"), F.col(f"{first}sid").alias("excl"), F.col(f"{second}sid").alias("other"), F.trim(f"{first}source_text").alias("clause"), F.col(f"{second}purpose").alias("other_purpose"),
             F.expr(on(EXCLUSIVITY_TEXT, first, second)).alias("explanation"),
@@ -276,7 +293,7 @@ def exclusivity_cross_sql() -> str:
         p = a + "."
         return (
             f"SELECT site, vendor, {turn} AS turn, {p}sid AS excl, {b}.sid AS other, trim({p}source_text) AS clause, {b}.purpose AS other_purpose, {on(EXCLUSIVITY_TEXT, p, b + '.')} AS explanation "
-            f"FROM {MEET_SQL} WHERE {on(f'{USABLE} AND {OTHER} AND {CROSS_SCOPE} AND {CONFLICT}', p, b + '.')}"
+            f"FROM {MEET_SQL} WHERE {on(f'{USABLE} AND {OTHER} AND {CROSS_SCOPE} AND {CONFLICT} AND {SQL_CATEGORY}', p, b + '.')}"
         )
 
     return with_statements(f", both_ways AS ({directed('w', 'v', 0)} UNION ALL {directed('v', 'w', 1)}), {_capped_sql('both_ways')}")
@@ -287,13 +304,13 @@ WITHIN_TEXTS = "(trim({1}source_text) <> trim({2}source_text) AND NOT (length(tr
 
 def exclusivity_within(statements: DataFrame) -> DataFrame:
     """A policy's exclusive purposes against its own other ones."""
-    df = within(statements, []).where(on(f"{USABLE} AND {OTHER} AND {SCOPE} AND {CONFLICT} AND {WITHIN_TEXTS} AND {{1}}sid <> {{2}}sid", "a_", "b_"))
+    df = within(statements, []).where(on(f"{USABLE} AND {OTHER} AND {SCOPE} AND {CONFLICT} AND {SPARK_CATEGORY} AND {WITHIN_TEXTS} AND {{1}}sid <> {{2}}sid", "a_", "b_"))
     df = df.select("site", "vendor", F.lit(0).alias("turn"), F.col("a_sid").alias("excl"), F.col("b_sid").alias("other"), F.trim("a_source_text").alias("clause"), F.col("b_purpose").alias("other_purpose"), F.expr(on(EXCLUSIVITY_TEXT, "a_", "b_")).alias("explanation"))
     return finding(_capped(df, F.col("clause"), ["turn", "excl", "other"]), "exclusivity", F.col("excl"), F.col("other"), "'inconsistent'", "'HIGH'", "1", "explanation")
 
 
 def exclusivity_within_sql() -> str:
-    where = on(f"{USABLE} AND {OTHER} AND {SCOPE} AND {CONFLICT} AND {WITHIN_TEXTS} AND {{1}}sid <> {{2}}sid", "w.", "v.")
+    where = on(f"{USABLE} AND {OTHER} AND {SCOPE} AND {CONFLICT} AND {SQL_CATEGORY} AND {WITHIN_TEXTS} AND {{1}}sid <> {{2}}sid", "w.", "v.")
     return with_statements(
         f", hits AS (SELECT w.policy AS site, w.policy AS vendor, 0 AS turn, w.sid AS excl, v.sid AS other, trim(w.source_text) AS clause, v.purpose AS other_purpose, {on(EXCLUSIVITY_TEXT, 'w.', 'v.')} AS explanation FROM {WITHIN_SQL} WHERE {where}), {_capped_sql('hits')}"
     )
@@ -315,7 +332,7 @@ def _widest(df: DataFrame, by: list[str], first: str, second: str) -> DataFrame:
 def condition_cross(sites: DataFrame, vendors: DataFrame, pairs: DataFrame) -> DataFrame:
     """The widest gap of strictness between the sides for each action and types."""
     usable = "NOT is_negative AND condition <> 'unspecified'"
-    met = meet(flagged(sites).where(usable), flagged(vendors).where(usable), pairs, same_action=True).where(on(f"{CROSS_SCOPE} AND {GAP}"))
+    met = meet(flagged(sites).where(usable), flagged(vendors).where(usable), pairs).where(on(f"{{1}}action = {{2}}action AND {CROSS_SCOPE} AND {GAP}"))
     return _widest(met, ["site", "vendor", "w_action", "w_data_type", "v_data_type"], "w_", "v_")
 
 
@@ -380,27 +397,70 @@ def retention_within_sql() -> str:
     return _retention_sql("w.policy AS site, w.policy AS vendor", WITHIN_SQL, " AND w.sid < v.sid")
 
 
-def all_cross(sites: DataFrame, vendors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Findings of the four detectors across policies."""
-    out = modality_cross(sites, vendors, pairs)
-    for f in (exclusivity_cross, condition_cross, retention_cross):
-        out = out.unionByName(f(sites, vendors, pairs))
-    return out
-
-
-def capped_per_sentence(findings: DataFrame, statements: DataFrame, cap: int = PER_SENTENCE) -> DataFrame:
-    """At most `cap` modality findings for each sentence of a site within a pair, the gravest first."""
-    text = statements.select(F.col("sid").alias("statement_1"), F.trim("source_text").alias("sentence"))
-    w = Window.partitionBy("site", "vendor", "sentence").orderBy(F.when(F.col("severity") == "CRITICAL", 0).otherwise(1), F.desc("n_violations"), "statement_2")
-    return findings.join(text, "statement_1").withColumn("k", F.row_number().over(w)).where(F.col("k") <= cap).select(*FINDINGS)
-
-
 PRIORITY = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END"
-PATTERN_RANK = {"modality": 0, "retention": 1, "condition": 2, "exclusivity": 3}
+PATTERN_RANK = {"modality": 0, "retention": 1, "condition": 1, "exclusivity": 1}
 VERDICT_RANK = {"inconsistent": 0, "underspecified": 1, "non_conflict": 2}
+#: What a finding's text adds to the evidence of its two statements; the verdict counts too.
+WEIGHT = "({1}evidence + {2}evidence + CASE verdict WHEN 'inconsistent' THEN 3 WHEN 'underspecified' THEN 2 ELSE 1 END + CASE WHEN contains(explanation, 'advertising') THEN 3 ELSE 0 END + CASE WHEN contains(explanation, 'keeps it') OR contains(explanation, 'without end') THEN 2 ELSE 0 END)"
+
+def _ends(first: str, second: str, **parts: str) -> dict[str, str]:
+    """What a finding is made of, as SQL over a meeting. r1 to r3 and down_1 and down_2 are ranks, largest first; `up` comes least first."""
+    base = {
+        "statement_1": "{1}sid", "statement_2": "{2}sid", "text_1": "trim({1}source_text)", "text_2": "trim({2}source_text)", "severity": "'HIGH'", "n_violations": "1",
+        "k1": "''", "k2": "''", "r1": "0", "r2": "0", "r3": "0", "up": "CAST(NULL AS STRING)", "down_1": "CAST(NULL AS STRING)", "down_2": "CAST(NULL AS STRING)",
+    }
+    return {k: on(e, first, second) for k, e in (base | parts).items()}
+
+
+_EXCLUSIVE = {"pattern": "'exclusivity'", "verdict": "'inconsistent'", "explanation": EXCLUSIVITY_TEXT, "k1": "trim({1}source_text)", "k2": "{2}purpose"}
+KINDS: dict[str, dict[str, str]] = {
+    "modality": _ends(
+        "w_", "v_", pattern="'modality'", verdict=VERDICT, severity="CASE WHEN n_arms >= 2 THEN 'CRITICAL' ELSE 'HIGH' END", n_violations="n_arms", explanation=EXPLANATION, k1="trim({1}source_text)",
+        r1="CASE WHEN n_arms >= 2 THEN 1 ELSE 0 END", r2="n_arms", r3="length({2}source_text)", up="{1}sid || ' ' || {2}sid",
+    ),
+    "site keeps to": _ends("w_", "v_", up="'0 ' || {1}sid || ' ' || {2}sid", **_EXCLUSIVE),
+    "vendor keeps to": _ends("v_", "w_", up="'1 ' || {1}sid || ' ' || {2}sid", **_EXCLUSIVE),
+    "condition": _ends(
+        "w_", "v_", pattern="'condition'", verdict="'underspecified'", explanation=GAP_TEXT, k1="{1}action", k2="{1}data_type || '/' || {2}data_type", r1="abs({1}strictness - {2}strictness)",
+        r2="length({1}source_text) + length({2}source_text)", statement_1=STRICTER, statement_2=LOOSER, down_1=STRICTER, down_2=LOOSER,
+        text_1=f"trim({STRICTER.replace('sid', 'source_text')})", text_2=f"trim({LOOSER.replace('sid', 'source_text')})",
+    ),
+    "retention": _ends("w_", "v_", pattern="'retention'", verdict="'inconsistent'", explanation=TEMPORAL_TEXT, k1="{1}sid || ' ' || {2}sid"),
+}
+
+
+def all_cross(sites: DataFrame, vendors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Findings of the four detectors across policies, each with its caps, exact repeats dropped.
+
+    Statements meet once; every meeting is tried by all detectors, and one shuffle by pair serves all caps, the removal of repeats and
+    the order within the pair."""
+    met = meet(flagged(sites), flagged(vendors), pairs)
+    met = met.withColumns({f"arm_{k}": F.expr(on(e)) for k, e in ARMS.items()}).withColumn("n_arms", F.expr(N_ARMS))
+    exclusive = f"{USABLE} AND {OTHER} AND {CROSS_SCOPE} AND {CONFLICT} AND {SPARK_CATEGORY}"
+    tests = {
+        "modality": on(f"n_arms > 0 AND {CROSS_SCOPE} AND {SITE_ELIGIBLE} AND {VENDOR_ELIGIBLE} AND {NAMES_VENDOR} AND {RELATED_ACTIONS} AND NOT {MISMATCH} AND NOT {BROAD_ONLY.replace('n_violations', 'n_arms')}"),
+        "site keeps to": on(exclusive), "vendor keeps to": on(exclusive, "v_", "w_"), "condition": on(f"{CONDITIONED} AND {{1}}action = {{2}}action AND {CROSS_SCOPE} AND {GAP}"),
+        "retention": on(f"{RETAINING} AND {RETAINING.replace('{1}', '{2}')} AND {TEMPORAL}"),
+    }
+    hits = met.withColumn("kind", F.explode(F.array_compact(F.array(*[F.when(F.expr(e), k) for k, e in tests.items()]))))
+    columns = {c: "CASE kind " + " ".join(f"WHEN '{k}' THEN {parts[c]}" for k, parts in KINDS.items()) + " END" for c in KINDS["modality"]}
+    found = hits.select("site", "vendor", *[F.expr(e).alias(c) for c, e in columns.items()], F.col("w_evidence").alias("e1"), F.col("v_evidence").alias("e2"))
+    found = found.withColumn("evidence", F.expr(WEIGHT.replace("{1}evidence", "e1").replace("{2}evidence", "e2")).cast("int")).drop("e1", "e2").repartition("site", "vendor")
+    order = [F.desc("r1"), F.desc("r2"), F.desc("r3"), F.asc("up"), F.desc("down_1"), F.desc("down_2")]
+    pair = ["site", "vendor", "pattern"]
+    found = found.withColumn("k", F.row_number().over(Window.partitionBy(*pair, "k1", "k2").orderBy(*order)))
+    found = found.where(f"k <= CASE pattern WHEN 'modality' THEN {PER_SENTENCE} ELSE 1 END")
+    found = found.withColumn("k", F.row_number().over(Window.partitionBy(*pair, "k1").orderBy(*order))).where(f"pattern <> 'exclusivity' or k <= {PURPOSES_PER_CLAUSE}")
+    return repeats_dropped(found).select(*FINDINGS, "evidence")
+
+
+def repeats_dropped(findings: DataFrame) -> DataFrame:
+    """The first finding of each pattern and two texts within a pair: the gravest, then the one of least ids."""
+    w = Window.partitionBy("site", "vendor", "pattern", "text_1", "text_2").orderBy(F.expr(PRIORITY), F.desc("n_violations"), "statement_1", "statement_2")
+    return findings.withColumn("k", F.row_number().over(w)).where("k = 1")
 
 
 def prioritised(findings: DataFrame) -> DataFrame:
-    """Findings with their place in the order of severity, pattern and verdict within the pair."""
-    order = [F.expr(PRIORITY), F.expr(o.case("pattern", PATTERN_RANK, 9)), F.expr(o.case("verdict", VERDICT_RANK, 9)), "statement_1", "statement_2"]
+    """Findings with their place within the pair: by severity, pattern, evidence."""
+    order = [F.expr(PRIORITY), F.expr(o.case("pattern", PATTERN_RANK, 9)), F.desc("evidence"), "pattern", "statement_1", "statement_2"]
     return findings.withColumn("place", F.row_number().over(Window.partitionBy("site", "vendor").orderBy(*order)))

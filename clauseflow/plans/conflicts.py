@@ -27,11 +27,8 @@ def _within(detect):
 
 def cross_policy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all detectors, modality findings capped per sentence, exact repeats dropped, in priority order within the pair."""
-    sites, vendors, pairs = synth.site_statements(spark, sf_dir), synth.vendor_statements(spark, sf_dir), synth.pairs(spark, sf_dir)
-    out = p.capped_per_sentence(p.modality_cross(sites, vendors, pairs), sites)
-    for detect in (p.exclusivity_cross, p.condition_cross, p.retention_cross):
-        out = out.unionByName(detect(sites, vendors, pairs))
-    return p.prioritised(out).select("pattern", "site", "vendor", "statement_1", "statement_2", "verdict", "severity", "n_violations", "place")
+    out = p.all_cross(synth.site_statements(spark, sf_dir), synth.vendor_statements(spark, sf_dir), synth.pairs(spark, sf_dir))
+    return p.prioritised(out).select("pattern", "site", "vendor", "statement_1", "statement_2", "verdict", "severity", "n_violations", "evidence", "place")
 
 
 _PARTS = {"modality": p.modality_cross_sql, "exclusivity": p.exclusivity_cross_sql, "condition": p.condition_cross_sql, "retention": p.retention_cross_sql}
@@ -42,15 +39,18 @@ def all_findings_sql() -> str:
     parts = ", ".join(f"{k}_all AS ({sql()})" for k, sql in _PARTS.items())
     texts = synth.STATEMENTS_SQL.rstrip(", ")
     return (
-        f"{texts}, {parts}, capped AS (SELECT m.* FROM modality_all m JOIN sites s ON s.sid = m.statement_1 QUALIFY row_number() OVER (PARTITION BY m.site, m.vendor, trim(s.source_text) "
-        f"ORDER BY CASE WHEN severity = 'CRITICAL' THEN 0 ELSE 1 END, n_violations DESC, statement_2) <= {p.PER_SENTENCE}), "
-        "findings AS (SELECT * FROM capped UNION ALL SELECT * FROM exclusivity_all UNION ALL SELECT * FROM condition_all UNION ALL SELECT * FROM retention_all)"
+        f"{texts}, {parts}, both_sides AS (SELECT sid, trim(source_text) AS text, length(source_text) AS size, {p.DERIVED['evidence']} AS evidence FROM (SELECT * FROM sites UNION ALL SELECT * FROM vendors)), "
+        "capped AS (SELECT m.* FROM modality_all m JOIN both_sides s ON s.sid = m.statement_1 JOIN both_sides v ON v.sid = m.statement_2 QUALIFY row_number() OVER (PARTITION BY m.site, m.vendor, s.text "
+        f"ORDER BY severity, n_violations DESC, v.size DESC, statement_1, statement_2) <= {p.PER_SENTENCE}), "
+        "every AS (SELECT * FROM capped UNION ALL SELECT * FROM exclusivity_all UNION ALL SELECT * FROM condition_all UNION ALL SELECT * FROM retention_all), "
+        f"findings AS (SELECT e.*, CAST({p.WEIGHT.replace('{1}', 'x.').replace('{2}', 'y.')} AS INTEGER) AS evidence FROM every e JOIN both_sides x ON x.sid = e.statement_1 JOIN both_sides y ON y.sid = e.statement_2 "
+        "QUALIFY row_number() OVER (PARTITION BY site, vendor, pattern, x.text, y.text ORDER BY severity, n_violations DESC, statement_1, statement_2) = 1)"
     )
 
 
 def cross_policy_findings_sql() -> str:
-    order = f"{p.PRIORITY}, {o.case('pattern', p.PATTERN_RANK, 9)}, {o.case('verdict', p.VERDICT_RANK, 9)}, statement_1, statement_2"
-    return f"{all_findings_sql()} SELECT pattern, site, vendor, statement_1, statement_2, verdict, severity, n_violations, CAST(row_number() OVER (PARTITION BY site, vendor ORDER BY {order}) AS INTEGER) AS place FROM findings"
+    order = f"{p.PRIORITY}, pattern <> 'modality', evidence DESC, pattern, statement_1, statement_2"
+    return f"{all_findings_sql()} SELECT pattern, site, vendor, statement_1, statement_2, verdict, severity, n_violations, evidence, CAST(row_number() OVER (PARTITION BY site, vendor ORDER BY {order}) AS INTEGER) AS place FROM findings"
 
 
 def _pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +115,14 @@ def finding_counts_sql() -> str:
 
 def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of inconsistent pairs for each segment of sites and class of vendors."""
-    c, s = synth.table(spark, sf_dir, "customer"), synth.table(spark, sf_dir, "supplier")
-    v = _pair_verdicts(spark, sf_dir).join(c, F.col("site") == F.col("c_custkey")).join(s, F.col("vendor") == F.col("s_suppkey"))
-    g = v.groupBy(F.col("c_mktsegment").alias("segment"), (F.col("s_nationkey") % 5).cast("int").alias("vendor_class"))
+    c, s = synth.table(spark, sf_dir, "customer"), synth.table(spark, sf_dir, "part")
+    v = _pair_verdicts(spark, sf_dir).join(c, F.col("site") == F.col("c_custkey")).join(s, F.expr("vendor div 10") == F.col("p_partkey"))
+    g = v.groupBy(F.col("c_mktsegment").alias("segment"), F.col("p_brand").alias("vendor_class"))
     return g.agg(F.count("*").alias("pairs"), F.count_if(F.col("verdict") == "inconsistent").alias("inconsistent")).withColumn("percent", F.round(F.col("inconsistent") * 100.0 / F.col("pairs"), 4))
 
 
 def heatmap_sql() -> str:
-    return f"{all_findings_sql()}, {_PAIR_SQL} SELECT c_mktsegment AS segment, CAST(s_nationkey % 5 AS INTEGER) AS vendor_class, count(*) AS pairs, CAST(count_if(verdict = 'inconsistent') AS BIGINT) AS inconsistent, round(count_if(verdict = 'inconsistent') * 100.0::DOUBLE / count(*), 4) AS percent FROM pair_verdict JOIN customer ON c_custkey = site JOIN supplier ON s_suppkey = vendor GROUP BY ALL"
+    return f"{all_findings_sql()}, {_PAIR_SQL} SELECT c_mktsegment AS segment, p_brand AS vendor_class, count(*) AS pairs, CAST(count_if(verdict = 'inconsistent') AS BIGINT) AS inconsistent, round(count_if(verdict = 'inconsistent') * 100.0::DOUBLE / count(*), 4) AS percent FROM pair_verdict JOIN customer ON c_custkey = site JOIN part ON p_partkey = vendor // 10 GROUP BY ALL"
 
 
 def website_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:

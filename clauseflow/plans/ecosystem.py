@@ -36,6 +36,12 @@ def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SITES = "sites_ AS (SELECT c_custkey AS site, c_custkey + 1 AS rank, c_mktsegment AS category, c_acctbal > 0 AS qualified FROM customer)"
 VENDORS = "vendors_ AS (SELECT s_suppkey AS vendor, s_name AS name, s_acctbal > 0 AS qualified FROM supplier)"
 OBSERVED = synth.OBSERVED_SQL.rstrip(", ")
+EMBEDS = "pairs AS (SELECT DISTINCT site, vendor FROM observed)"
+
+
+def embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, vendor): every vendor that each site embeds, once."""
+    return synth.observations(spark, sf_dir).select("site", "vendor").distinct()
 
 
 def percent(k: str, n: str = "count(*)") -> str:
@@ -139,13 +145,13 @@ def tracker_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = s.where("vendor % 2 = 0").select("vendor", F.struct(F.col("s_name").alias("entity"), F.lit("first").alias("index"), F.round("s_acctbal", 2).alias("prevalence")).alias("f"))
     second = s.where("vendor % 3 = 0").select("vendor", F.struct(F.upper("s_name").alias("entity"), F.lit("second").alias("index"), F.lit(None).cast("double").alias("prevalence")).alias("g"))
     over = s.where("s_nationkey = 7").select("vendor", F.concat(F.lit("https://"), F.lower("s_name"), F.lit("/privacy")).alias("policy_url"))
-    p = synth.pairs(spark, sf_dir)
+    p = embeds(spark, sf_dir)
     df = p.join(first, "vendor", "left").join(second, "vendor", "left").join(over, "vendor", "left").withColumn("e", F.coalesce("f", "g"))
     return df.select("site", "vendor", "e.entity", "e.index", "e.prevalence", "policy_url")
 
 
 TRACKER_SQL = (
-    f"WITH {OBSERVED}, {synth.PAIRS_SQL.rstrip(', ')} SELECT site, p.vendor, CASE WHEN p.vendor % 2 = 0 THEN s_name WHEN p.vendor % 3 = 0 THEN upper(s_name) END AS entity, "
+    f"WITH {OBSERVED}, {EMBEDS} SELECT site, p.vendor, CASE WHEN p.vendor % 2 = 0 THEN s_name WHEN p.vendor % 3 = 0 THEN upper(s_name) END AS entity, "
     "CASE WHEN p.vendor % 2 = 0 THEN 'first' WHEN p.vendor % 3 = 0 THEN 'second' END AS index, CASE WHEN p.vendor % 2 = 0 THEN round(s_acctbal, 2) END AS prevalence, "
     "CASE WHEN s_nationkey = 7 THEN 'https://' || lower(s_name) || '/privacy' END AS policy_url FROM pairs p JOIN supplier ON s_suppkey = p.vendor"
 )
@@ -155,11 +161,11 @@ def same_entity_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs without those whose two parties belong to one entity (here: nation); parties without one stay."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("a"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vendor"), F.col("s_nationkey").alias("b"))
-    df = synth.pairs(spark, sf_dir).join(c, "site", "left").join(s, "vendor", "left")
+    df = embeds(spark, sf_dir).join(c, "site", "left").join(s, "vendor", "left")
     return df.where(~F.coalesce(F.col("a") == F.col("b"), F.lit(False))).select("site", "vendor")
 
 
-SAME_ENTITY_SQL = f"WITH {OBSERVED}, {synth.PAIRS_SQL.rstrip(', ')} SELECT site, vendor FROM pairs LEFT JOIN customer ON c_custkey = site LEFT JOIN supplier ON s_suppkey = vendor WHERE NOT coalesce(c_nationkey = s_nationkey, false)"
+SAME_ENTITY_SQL = f"WITH {OBSERVED}, {EMBEDS} SELECT site, vendor FROM pairs LEFT JOIN customer ON c_custkey = site LEFT JOIN supplier ON s_suppkey = vendor WHERE NOT coalesce(c_nationkey = s_nationkey, false)"
 
 
 def group_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,30 +7,15 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import synth
-
 FLAGSHIP = "cross_policy_findings"
-MODULES = ["conflicts", "ecosystem", "textual", "web", "evaluation", "pipeline"]
-
-#: Queries on synth.pairs, which takes two vendors a site; each is there again as NAME_whole, over all observed pairs
-#: and with a vendor statement for each line item. Only those without vendor statements have an oracle: DuckDB takes too long for the others, which
-#: tests hold against synth.whole_sql on a fixture.
-ON_PAIRS = [
-    "cross_policy_findings", "modality_cross", "modality_graph", "exclusivity_cross", "condition_cross", "retention_cross", "pair_verdict_mix", "party_inconsistency", "verdict_crosstab",
-    "finding_counts", "inconsistency_heatmap", "coverage_diff", "aligned_pairs", "bridge_flows", "tracker_enrichment", "same_entity_excluded",
-]
-
-
-def _whole_oracle(sql) -> str | None:
-    sql = sql if isinstance(sql, str) else sql()
-    return None if synth.VENDOR_RAW_SQL in sql else synth.whole_sql(sql)
+MODULES = ["conflicts", "ecosystem", "textual", "web", "crawl", "evaluation", "pipeline"]
 
 
 def _all() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
     for m in MODULES:
         out |= import_module(f".{m}", __package__).QUERIES
-    return out | {f"{name}_whole": (synth.whole(out[name][0]), _whole_oracle(out[name][1])) for name in ON_PAIRS}
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,14 +1,13 @@
 """Views that read the star schema as a privacy ecosystem, for both engines.
 
-Customers are sites and suppliers vendors; a site embeds the vendors whose lines it ordered.  Orders carry the sites'
-statements and line items the vendors', by integer arithmetic only, so that Spark and DuckDB see the same rows.
+Customers are sites.  Who embeds whom is counted by supplier; the vendors whose policies are compared are the offers of parts, a part by
+one of ten groups of suppliers (l_partkey * 10 + l_suppkey % 10), so that vendors grow with the data like sites do. Every order is a statement
+of its site and every line item one of its vendor, and every distinct observed (site, vendor) is a pair: nothing is left out.
+Statements are made by integer arithmetic only, so that Spark and DuckDB see the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,16 +83,14 @@ def site_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_finish("{x}", "website"), x=_named(raw, _SITE))
 
 
+VENDOR = "l_partkey * 10 + l_suppkey % 10"
+
+
 def vendor_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A statement for each vendor, line number and residue of the order: all its lines go into one, which the least part stands for; within whole() one for each line."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("d"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("p"))
-    key = ["d", "n"]
-    if _WHOLE.get():  # order and line number repeat; lines equal in the part too make equal statements, which are numbered
-        raw = lines.withColumn("k", F.row_number().over(Window.partitionBy("s", "d", "n", "p").orderBy("p")))
-        key = ["d", "n", "p", "k"]
-    else:
-        raw = lines.withColumn("d", F.col("d") % 3).groupBy("s", "d", "n").agg(F.min("p").alias("p"))
-    raw = raw.select(F.col("s").alias("policy"), F.concat_ws("_", F.concat(F.lit("v"), "s"), *key).alias("sid"), "d", "s", "n", "p")
+    """A statement of the vendor for each line item; lines that repeat a key are numbered."""
+    lines = table(spark, sf_dir, "lineitem").select(F.expr(VENDOR).alias("s"), F.col("l_orderkey").alias("d"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("p"))
+    raw = lines.withColumn("k", F.row_number().over(Window.partitionBy("s", "d", "n").orderBy("p")))
+    raw = raw.select(F.col("s").alias("policy"), F.concat_ws("_", F.concat(F.lit("v"), "s"), "d", "n", "k").alias("sid"), "d", "s", "n", "p")
     return spark.sql(_finish("{x}", "vendor"), x=_named(raw, _VENDOR))
 
 
@@ -103,45 +100,19 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("site"), F.col("l_suppkey").alias("vendor"), F.col("l_partkey").alias("part"))
 
 
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def whole(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The same query over all distinct observed pairs, with a vendor statement for each line item."""
-
-    def over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _WHOLE.set(True)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _WHOLE.reset(token)
-
-    return over_all
-
-
-def whole_sql(sql: str) -> str:
-    """The oracle of such a query."""
-    return sql.replace(PAIRS_SQL.rstrip(", "), ALL_PAIRS_SQL.rstrip(", ")).replace(VENDOR_RAW_SQL, LINE_RAW_SQL)
-
-
-def pairs(spark: SparkSession, sf_dir: str, per_site: int = 2) -> DataFrame:
-    """(site, vendor): the vendors of each site that a fixed mixing of the keys puts first; within whole() all of them."""
-    w = Window.partitionBy("site").orderBy(F.expr("(site * 7919 + vendor * 104729) % 1000003"), "vendor")
-    seen = observations(spark, sf_dir).select("site", "vendor").distinct()
-    if _WHOLE.get():
-        return seen
-    return seen.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_site).select("site", "vendor")
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, vendor): all distinct observed pairs."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("site"), F.expr(VENDOR).alias("vendor")).distinct()
 
 
 SITES_SQL = f"""sites AS ({_finish('site_raw', 'website').replace('AS STRING', 'AS VARCHAR')}),"""
 SITE_RAW_SQL = f"""site_raw AS ({_named_sql("(SELECT o_custkey AS policy, 'w' || o_orderkey AS sid, o_orderkey AS k, o_custkey AS c FROM orders)", _SITE)}),"""
-VENDOR_RAW_SQL = f"""vendor_raw AS ({_named_sql("(SELECT s AS policy, 'v' || s || '_' || d || '_' || n AS sid, d, s, n, p FROM (SELECT l_suppkey AS s, l_orderkey % 3 AS d, CAST(l_linenumber AS BIGINT) AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL))", _VENDOR)}),"""
-LINE_RAW_SQL = f"""vendor_raw AS ({_named_sql("(SELECT s AS policy, 'v' || s || '_' || d || '_' || n || '_' || p || '_' || row_number() OVER (PARTITION BY s, d, n, p) AS sid, d, s, n, p FROM (SELECT l_suppkey AS s, l_orderkey AS d, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS p FROM lineitem))", _VENDOR)}),"""
+VENDOR_RAW_SQL = f"""vendor_raw AS ({_named_sql(f"(SELECT s AS policy, 'v' || s || '_' || d || '_' || n || '_' || row_number() OVER (PARTITION BY s, d, n ORDER BY p) AS sid, d, s, n, p FROM (SELECT {VENDOR} AS s, l_orderkey AS d, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS p FROM lineitem))", _VENDOR)}),"""
 VENDORS_SQL = f"""vendors AS ({_finish('vendor_raw', 'vendor').replace('AS STRING', 'AS VARCHAR')}),"""
 OBSERVED_SQL = "observed AS (SELECT o_custkey AS site, l_suppkey AS vendor, l_partkey AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey),"
-PAIRS_SQL = """pairs AS (SELECT site, vendor FROM (SELECT site, vendor, row_number() OVER (PARTITION BY site ORDER BY (site * 7919 + vendor * 104729) % 1000003, vendor) AS k FROM (SELECT DISTINCT site, vendor FROM observed)) WHERE k <= 2),"""
-ALL_PAIRS_SQL = "pairs AS (SELECT DISTINCT site, vendor FROM observed),"
+PAIRS_SQL = f"pairs AS (SELECT DISTINCT o_custkey AS site, {VENDOR} AS vendor FROM orders JOIN lineitem ON o_orderkey = l_orderkey),"
 RELATED_SQL = f"related AS (SELECT * FROM {o.values(o.related(), 'a, b')}),"
 
 #: Everything that the detectors' oracles start from; ends with a comma.
-STATEMENTS_SQL = "WITH " + SITE_RAW_SQL + SITES_SQL + VENDOR_RAW_SQL + VENDORS_SQL + OBSERVED_SQL + PAIRS_SQL + RELATED_SQL
+STATEMENTS_SQL = "WITH " + SITE_RAW_SQL + SITES_SQL + VENDOR_RAW_SQL + VENDORS_SQL + PAIRS_SQL + RELATED_SQL

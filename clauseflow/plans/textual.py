@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ontology as o
 from ..functions import text as t
 from ..operators import normalise, segment
+from ..operators.labels import labels_sql, rule_labels
 from . import fixtures, synth
 
 
@@ -112,41 +113,18 @@ def clause_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLAUSE_PREDICATES_SQL = f"SELECT CAST(clause_id AS INTEGER) AS clause_id, {', '.join(f'{p.sql(chr(99) + "lause")} AS {k}' for k, p in PREDICATES.items())} FROM {_CLAUSES_SQL}"
 
 
-def rule_labels(text: Column, action: Column, purpose: Column, recipient: Column, temporality: Column, kind: Column) -> Column:
-    """Disclosure categories of a statement by rules, in their order."""
-    test = {
-        "Processing Purpose": action.isin("use", "process", "collect") & (purpose != ""), "Data Categories": action.isin("use", "process", "collect") & (kind != ""),
-        "Data Recipients": action.isin("share", "sell", "transfer") | (recipient != ""), "Storage Period": action.isin("retain", "delete") | (temporality != "unspecified"),
-        "Right to Access": action == "access_right", "Right to Erase": action == "deletion_right", "Right to Portability": action == "portability_right", "Right to Object": action == "optout_right",
-    }
-    for k, p in t.RULES.items():
-        test[k] = p(text) | (action == "optout_right") if k == "Withdraw Consent" else p(text)
-    return F.array_compact(F.array(*[F.when(test[c], c) for c in o.CATEGORIES]))
-
-
 def _labelled(spark: SparkSession, sf_dir: str, side: str = "site") -> DataFrame:
     s = (synth.site_statements if side == "site" else synth.vendor_statements)(spark, sf_dir)
     c = {x: F.col(x) for x in s.columns}
     return s.withColumn("categories", rule_labels(c["source_text"], c["action"], c["purpose"], c["recipient"], c["temporality"], c["data_type"]))
 
 
-def _labels_sql(source: str) -> str:
-    test = {
-        "Processing Purpose": "action IN ('use','process','collect') AND purpose <> ''", "Data Categories": "action IN ('use','process','collect') AND data_type <> ''",
-        "Data Recipients": "action IN ('share','sell','transfer') OR recipient <> ''", "Storage Period": "action IN ('retain','delete') OR temporality <> 'unspecified'",
-        "Right to Access": "action = 'access_right'", "Right to Erase": "action = 'deletion_right'", "Right to Portability": "action = 'portability_right'", "Right to Object": "action = 'optout_right'",
-    }
-    test |= {k: p.sql("source_text") for k, p in t.RULES.items()}
-    parts = ", ".join(f"CASE WHEN {test[c]} THEN '{c}' END" for c in o.CATEGORIES)
-    return f"SELECT *, list_filter([{parts}], lambda x: x IS NOT NULL) AS categories FROM {source}"
-
-
 def gdpr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).select("sid", F.array_join("categories", "; ").alias("categories"))
 
 
 def gdpr_rules_sql() -> str:
-    return f"{synth.STATEMENTS_SQL.rstrip(', ')} SELECT sid, array_to_string(categories, '; ') AS categories FROM ({_labels_sql('sites')})"
+    return f"{synth.STATEMENTS_SQL.rstrip(', ')} SELECT sid, array_to_string(categories, '; ') AS categories FROM ({labels_sql('sites')})"
 
 
 def _coverage(labelled: DataFrame) -> DataFrame:
@@ -173,7 +151,7 @@ _DIM_SQL = f"dim AS (SELECT * FROM {o.values([(c, o.FAMILY_OF[c], k) for k, c in
 
 def _coverage_sql(source: str, name: str) -> str:
     return (
-        f"{name}_l AS ({_labels_sql(source)}), {name}_n AS (SELECT policy, category, count(*) AS n FROM (SELECT policy, unnest(categories) AS category FROM {name}_l) GROUP BY ALL), "
+        f"{name}_l AS ({labels_sql(source)}), {name}_n AS (SELECT policy, category, count(*) AS n FROM (SELECT policy, unnest(categories) AS category FROM {name}_l) GROUP BY ALL), "
         f"{name} AS (SELECT p.policy, d.category, d.family, coalesce(n, 0) AS n FROM (SELECT DISTINCT policy FROM {name}_l) p CROSS JOIN dim d LEFT JOIN {name}_n x ON x.policy = p.policy AND x.category = d.category)"
     )
 
@@ -291,20 +269,30 @@ def segment_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment_policies(spark.createDataFrame(fixtures.POLICIES, "policy_id string, text string").union(docs))
 
 
-STOPS = "a an and are as at be by for from in is it of on or that the this to was with".split()
+STOPS = "the and of to a in that is for on with as by be this it from or at an are we you your our their".split()
+_EDGE = ".,;:!?()\"'"
+
+
+def is_english(text: Column, share: float = 0.07) -> Column:
+    """Of the first 300 words, without the punctuation around them, that share are English stop words; of 20 words at least."""
+    words = F.slice(F.filter(F.split(text, r"\s+"), lambda x: x != ""), 1, 300)
+    hits = F.size(F.filter(words, lambda x: F.btrim(F.lower(x), F.lit(_EDGE)).isin(STOPS)))
+    return F.coalesce((F.size(words) >= 20) & (hits / F.size(words) >= share), F.lit(False))
+
+
+def is_english_sql(text: str) -> str:
+    stops, edge = ",".join(f"'{s}'" for s in STOPS), _EDGE.replace("'", "''")
+    words = f"list_filter(string_split_regex({text}, '\\s+'), lambda x: x <> '')[1:300]"
+    return f"coalesce(len({words}) >= 20 AND len(list_filter({words}, lambda x: trim(lower(x), '{edge}') IN ({stops})))::DOUBLE / len({words}) >= 0.07, false)"
 
 
 def english_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English if 7 % of the first 300 words are English stop words, of 20 words at least."""
-    words = F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != ""), 1, 300)
-    d = synth.table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    hits = F.size(F.filter("w", lambda x: x.isin(STOPS)))
-    return d.select("doc_id", ((F.size("w") >= 20) & (hits / F.size("w") >= 0.07)).alias("english"))
+    """Which documents are in English. The rule looks at the first 300 words: that is the feature."""
+    return synth.table(spark, sf_dir, "documents").select("doc_id", is_english(F.col("text")).alias("english"))
 
 
 def english_detector_sql() -> str:
-    stops = ",".join(f"'{s}'" for s in STOPS)
-    return f"WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')[1:300] AS w FROM documents) SELECT doc_id, len(w) >= 20 AND len(list_filter(w, lambda x: x IN ({stops})))::DOUBLE / len(w) >= 0.07 AS english FROM d"
+    return f"SELECT doc_id, {is_english_sql('text')} AS english FROM documents"
 
 
 def doc_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over pages: addresses, links, third parties, what a page is, cookies."""
+"""Queries over pages: addresses, plain text, cookies."""
 
 from __future__ import annotations
 
@@ -6,14 +6,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ontology as o
-from ..functions.text import Predicate
 from .synth import table
 
-ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
 _HOST = r"^[a-z][a-z0-9+.-]*://([^/?#:]+)"
 
 
@@ -55,76 +53,6 @@ def url_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("normal").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
 
-def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, host, place, href, anchor) of plain links."""
-    p = table(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("host"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("h"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("t"))
-    return p.select("page_id", "host", F.posexplode(F.arrays_zip("h", "t")).alias("place", "x")).select("page_id", "host", "place", F.col("x.h").alias("href"), F.col("x.t").alias("anchor"))
-
-
-_ANCHORS_SQL = (
-    f"anchors AS (SELECT page_id, {HOST_SQL} AS host, unnest(range(len(h))) AS place, unnest(h) AS href, unnest(t) AS anchor, url FROM "
-    f"(SELECT *, regexp_extract_all(html, '{ANCHOR}', 1) AS h, regexp_extract_all(html, '{ANCHOR}', 2) AS t FROM pages))"
-)
-_SCORES = [(3, Predicate("th")), (2, Predicate("^/?e")), (1, Predicate("ing$")), (1, Predicate(",$"))]
-
-
-def link_score(href: Column, anchor: Column) -> Column:
-    """Weighted signs of a policy link in its address and its text."""
-    out = F.lit(0)
-    for w, p in _SCORES:
-        out = out + F.when(p(href), w).otherwise(0) + F.when(p(anchor), w).otherwise(0)
-    return out
-
-
-def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six best links of each page, each address once with its best score."""
-    best = _anchors(spark, sf_dir).groupBy("page_id", "href").agg(F.max(link_score(F.col("href"), F.col("anchor"))).alias("score"))
-    w = Window.partitionBy("page_id").orderBy(F.desc("score"), "href")
-    return best.withColumn("place", F.row_number().over(w)).where("place <= 6")
-
-
-_SCORE_SQL = " + ".join(f"CASE WHEN {p.sql(c)} THEN {w} ELSE 0 END" for w, p in _SCORES for c in ("href", "anchor"))
-
-
-def third_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites other than its own that a page's attributes name, sorted."""
-    p = table(spark, sf_dir, "pages").select("page_id", site_of(host(F.col("url"))).alias("own"), F.explode(F.regexp_extract_all("html", F.lit(r'(?:href|src)="(https?://[^"]+)"'), F.lit(1))).alias("u"))
-    found = p.select("page_id", "own", site_of(host(F.col("u"))).alias("site")).where("site <> own and site <> ''")
-    return found.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("site")), " ").alias("third_parties"))
-
-
-THIRD_SQL = (
-    f"SELECT page_id, string_agg(DISTINCT site, ' ' ORDER BY site) AS third_parties FROM (SELECT page_id, own, {SITE_SQL} AS site FROM (SELECT page_id, {SITE_SQL} AS own, unnest(regexp_extract_all(html, '(?:href|src)=\"(https?://[^\"]+)\"', 1)) AS url FROM pages)) "
-    "WHERE site <> own AND site <> '' GROUP BY page_id"
-)
-
-WALLS = [
-    ("captcha", Predicate(r"captcha|are you (a )?human|verify you are")), ("access_denied", Predicate(r"access denied|403 forbidden")), ("consent_wall", Predicate(r"accept (all )?cookies to continue")),
-    ("not_found", Predicate(r"404 not found|page not found")), ("license", Predicate(r"licensed under cc|all rights reserved")),
-]
-
-
-def page_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a page is, by the first sign that holds, else by how much it has."""
-    out = None
-    for name, p in WALLS:
-        out = F.when(p(F.col("html")), name) if out is None else out.when(p(F.col("html")), name)
-    return table(spark, sf_dir, "pages").select("page_id", out.when(F.length("html") < 2000, "sparse").otherwise("content").alias("kind"))
-
-
-PAGE_CLASS_SQL = "SELECT page_id, CASE " + " ".join(f"WHEN {p.sql('html')} THEN '{n}'" for n, p in WALLS) + " WHEN length(html) < 2000 THEN 'sparse' ELSE 'content' END AS kind FROM pages"
-
-
-def fallback_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a policy may lie on each site."""
-    paths = o.frame(spark, [(x,) for x in PATHS], "path string")
-    sites = table(spark, sf_dir, "pages").select(host(F.col("url")).alias("host")).distinct()
-    return sites.crossJoin(paths).select("host", F.concat(F.lit("https://"), "host", "path").alias("url"))
-
-
-PATHS = [f"/{x}" for x in "privacy privacy-policy privacy_policy privacy.html privacypolicy legal legal/privacy policies policies/privacy about/privacy company/privacy data-protection datenschutz help/privacy en/privacy info/privacy privacidad terms terms-and-privacy confidentialite cookie-policy".split()]
-
-
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -166,7 +94,7 @@ def cookies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set-Cookie headers, parsed."""
     c = spark.createDataFrame([(x,) for x in COOKIES], "header string")
     parts = F.transform(F.split("header", ";"), lambda x: F.trim(x))
-    attr = F.map_from_entries(F.transform(F.slice(parts, 2, 100), lambda x: F.struct(F.lower(F.substring_index(x, "=", 1)).alias("k"), F.when(F.instr(x, "=") > 0, F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("v"))))
+    attr = F.map_from_entries(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.struct(F.lower(F.substring_index(x, "=", 1)).alias("k"), F.when(F.instr(x, "=") > 0, F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("v"))))
     c = c.withColumn("first", parts[0]).withColumn("a", attr)
     get = lambda k: F.element_at("a", k)
     has = lambda k: F.array_contains(F.map_keys("a"), k)
@@ -183,29 +111,9 @@ COOKIES_SQL = (
 )
 
 
-def accepted_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each host, the best page by tiers of likelihood and length, if any comes up to one."""
-    p = table(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("host"), (F.regexp_count("html", F.lit("the")) % 7).alias("score"), F.length("html").alias("size"))
-    tier = "(score >= 5 and size >= 300) or (score >= 4 and size >= 500) or (score >= 3 and size >= 800)"
-    p = p.withColumn("tier", F.when(F.expr(tier), 0).when(F.expr("score >= 3 and size >= 200"), 1)).where("tier is not null")
-    best = F.struct(-F.col("tier"), "score", "size", -F.col("page_id"))
-    return p.groupBy("host").agg(F.max_by("page_id", best).alias("page_id"))
-
-
-ACCEPTED_SQL = (
-    f"SELECT host, page_id FROM (SELECT *, CASE WHEN (score >= 5 AND size >= 300) OR (score >= 4 AND size >= 500) OR (score >= 3 AND size >= 800) THEN 0 WHEN score >= 3 AND size >= 200 THEN 1 END AS tier FROM (SELECT page_id, {HOST_SQL} AS host, len(regexp_extract_all(html, 'the')) % 7 AS score, length(html) AS size FROM pages)) "
-    "WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY host ORDER BY tier, score DESC, size DESC, page_id) = 1"
-)
-
 QUERIES = {
     "url_normalize": (url_normalize, f"SELECT page_id, {NORMALISED_SQL} AS normal, {HOST_SQL} AS host, {SITE_SQL} AS site FROM pages"),
     "url_registry": (url_registry, f"SELECT {NORMALISED_SQL} AS normal, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1"),
-    "page_links": (lambda s, d: _anchors(s, d).select("page_id", "place", "href", "anchor"), f"WITH {_ANCHORS_SQL} SELECT page_id, CAST(place AS INTEGER) AS place, href, anchor FROM anchors"),
-    "link_candidates": (link_candidates, f"WITH {_ANCHORS_SQL}, best AS (SELECT page_id, href, CAST(max({_SCORE_SQL}) AS INTEGER) AS score FROM anchors GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, href) AS INTEGER) AS place FROM best QUALIFY place <= 6"),
-    "third_parties": (third_parties, THIRD_SQL),
-    "page_class": (page_class, PAGE_CLASS_SQL),
-    "fallback_urls": (fallback_urls, f"SELECT DISTINCT host, 'https://' || host || path AS url FROM (SELECT {HOST_SQL} AS host FROM pages), {o.values([(x,) for x in PATHS], 'path')}"),
     "plain_text": (plain_text, None),
     "cookies": (cookies, COOKIES_SQL),
-    "accepted_policies": (accepted_policies, ACCEPTED_SQL),
 }
