@@ -236,22 +236,6 @@ def aligned_pairs_sql() -> str:
     return f"{synth.STATEMENTS_SQL.rstrip(', ')} SELECT DISTINCT site, vendor, w.data_type AS site_type, v.data_type AS vendor_type, w.data_type = v.data_type AS same FROM pairs JOIN sites w ON w.policy = site JOIN related ON a = w.data_type JOIN vendors v ON v.policy = vendor AND v.data_type = b"
 
 
-def bridge_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a site sends out and a vendor takes on: sharing statements met by processing ones on equal or narrower types."""
-    w = synth.site_statements(spark, sf_dir).where("action in ('share','sell','transfer') and not is_negative and modality <> 'PROHIBITION'").select(F.col("policy").alias("site"), F.col("sid").alias("out_sid"), F.col("data_type").alias("out_type"))
-    v = synth.vendor_statements(spark, sf_dir).where("not is_negative and modality <> 'PROHIBITION'").select(F.col("policy").alias("vendor"), F.col("sid").alias("in_sid"), F.col("data_type").alias("in_type"))
-    rel = o.frame(spark, [(a, b) for a, b, _ in o.closure()], "out_type string, in_type string")
-    return synth.pairs(spark, sf_dir).join(w, "site").join(rel, "out_type").join(v, ["vendor", "in_type"]).select("site", "vendor", "out_sid", "in_sid", "in_type").distinct()
-
-
-def bridge_flows_sql() -> str:
-    rel = o.values([(a, b) for a, b, _ in o.closure()], "a, b")
-    return (
-        f"{synth.STATEMENTS_SQL.rstrip(', ')} SELECT DISTINCT site, vendor, w.sid AS out_sid, v.sid AS in_sid, v.data_type AS in_type FROM pairs JOIN sites w ON w.policy = site JOIN {rel} ON a = w.data_type JOIN vendors v ON v.policy = vendor AND v.data_type = b "
-        "WHERE w.action IN ('share','sell','transfer') AND NOT w.is_negative AND w.modality <> 'PROHIBITION' AND NOT v.is_negative AND v.modality <> 'PROHIBITION'"
-    )
-
-
 def neighbourhood_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each policy's statements around each of its types: sets, flags, the histogram of conditions."""
     s = synth.site_statements(spark, sf_dir)
@@ -348,7 +332,6 @@ QUERIES = {
     "graph_edges": (graph_edges, lambda: f"{synth.STATEMENTS_SQL.rstrip(', ')}, {_EDGES_SQL} SELECT * FROM graph"),
     "graph_metrics": (graph_metrics, graph_metrics_sql),
     "aligned_pairs": (aligned_pairs, aligned_pairs_sql),
-    "bridge_flows": (bridge_flows, bridge_flows_sql),
     "neighbourhood_context": (neighbourhood_context, neighbourhood_context_sql),
     "segment_clauses": (segment_clauses, None),
     "english_detector": (english_detector, english_detector_sql),
