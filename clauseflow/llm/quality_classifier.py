@@ -10,8 +10,8 @@
 
 Defined results: a null or wordless text has features of zero, is scored like any other and is kept only if its
 probability says so; without labels of both kinds every document has probability null and is kept; a null doc_id is
-scored and carried; repeated rows get equal scores; labels that repeat or contradict each count; words of equal frequency at the end of
-the vocabulary go by hash; a text of any length is read whole; further columns are ignored; an empty table gives no rows.
+scored and carried; repeated rows get equal scores; labels that repeat or contradict each count; of words whose frequencies are too close to tell at the end of the vocabulary
+none has a vector of its own; a text of any length is read whole; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import narrowed, pieces
+from .common import discard, narrowed, pieces, scratch
 from .decontamination import Lookup
 
 WORDS, TAIL, DIMS, NONZERO, WINDOW = 1 << 16, 1 << 12, 64, 4, 2
@@ -55,7 +55,17 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                 names, times = names[:0], times[:0]
         yield pa.record_batch({"word": pa.array(names.view(np.int64)), "n": pa.array(times)})
 
-    rows = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word").toPandas()
+    counts = scratch(docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # a histogram of frequencies gives the least one whose words all fit, so that no more than they come to the driver
+    bins = counts.groupBy(F.floor(F.log2("n") * 64).alias("bin")).agg(F.count("*").alias("n")).collect()
+    least, held = math.inf, 0
+    for r in sorted(bins, key=lambda r: -r.bin):
+        held += r.n
+        if held > words:
+            break
+        least = r.bin
+    rows = counts.where(F.floor(F.log2("n") * 64) >= F.lit(float(least))).select("word").toPandas()
+    discard(counts)
     return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -111,14 +121,17 @@ def context_table(docs: DataFrame, words: np.ndarray) -> np.ndarray:
             total[own] += sums.astype(np.int32)
             seen[own] = True
         codes = np.flatnonzero(seen)
-        for part in np.split(codes, np.searchsorted(codes, np.arange(CHUNK, size, CHUNK))):
-            if len(part):
-                yield pa.record_batch({"chunk": pa.array([int(part[0]) // CHUNK], pa.int32()), "codes": pa.array([part.tobytes()], pa.binary()), "part": pa.array([total[part].tobytes()], pa.binary())})
+        small = np.abs(total[codes]).max(axis=1) < 128 if len(codes) else np.zeros(0, bool)
+        for group, kind in ((codes[small], np.int8), (codes[~small], np.int32)):  # most words are rare: a byte holds their sums
+            for part in np.split(group, np.searchsorted(group, np.arange(CHUNK, size, CHUNK))):
+                if len(part):
+                    yield pa.record_batch({"chunk": pa.array([int(part[0]) // CHUNK], pa.int32()), "codes": pa.array([(part % CHUNK).astype(np.int16).tobytes()], pa.binary()), "part": pa.array([total[part].astype(kind).tobytes()], pa.binary())})
 
     def summed(key: tuple, t: pa.Table) -> pa.Table:
         total = np.zeros((CHUNK, DIMS), np.int64)
         for codes, part in zip(t.column("codes"), t.column("part")):
-            total[np.frombuffer(codes.as_buffer(), np.int64) % CHUNK] += np.frombuffer(part.as_buffer(), np.int32).reshape(-1, DIMS)
+            at = np.frombuffer(codes.as_buffer(), np.int16)
+            total[at] += np.frombuffer(part.as_buffer(), np.int8 if len(part.as_buffer()) == len(at) * DIMS else np.int32).reshape(-1, DIMS)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "unit": pa.array([(total / np.maximum(norm, 1)).astype(np.float32).tobytes()], pa.binary())})
 
