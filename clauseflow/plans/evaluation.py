@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ontology as o
 from . import synth
-from .conflicts import all_findings_sql, cross_policy_findings
+from .conflicts import all_findings_sql, cross_policy_findings, with_texts
 from .synth import table
 
 #: A classifier's stand-in: a score of each labelled document from its id alone.
@@ -41,7 +41,7 @@ CONFUSION_SQL = (
 
 
 def micro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy, micro counts and the weighted F1 over the classes."""
+    """Accuracy over all classes, which is also their micro-averaged precision, recall and F1."""
     s = _scored(spark, sf_dir)
     return s.agg(F.count("*").alias("n"), F.count_if(F.col("three") == F.col("predicted")).alias("right"), F.round(F.avg((F.col("three") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
 
@@ -134,40 +134,101 @@ def greedy_match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CAPS = {"modality": 20, "exclusivity": 15, "condition": 15, "retention": 20}
+PER_PAIR, MOST, RELAXED = 35, 100, 1.5
 
 
-def curate(findings: DataFrame, most: int = 120, per_statement: int = 4) -> DataFrame:
-    """A reader's selection of each pair's findings: in priority order, so many of a pattern, so many of a statement. The counters depend on
-    each other, so a pair is gone through in sequence; pairs are independent."""
+def curate(findings: DataFrame, most: int = 120) -> DataFrame:
+    """A reader's selection of each pair's findings, in priority order: so many of a pattern, so many of a statement (four across policies, two
+    within one), none that says the same again, none that compares a clause with itself; the first dozen across policies, if there are so many.
+
+    The counters depend on each other, so a pair is gone through in sequence; pairs are independent. Findings have text_1 and text_2."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, by_pattern, by_statement = [], {}, {}
-        for k, r in enumerate(pdf.sort_values("place").itertuples(index=False)):
-            one, two = by_statement.get(r.statement_1, 0), by_statement.get(r.statement_2, 0)
-            if len(kept) < most and by_pattern.get(r.pattern, 0) < CAPS[r.pattern] and max(one, two) < per_statement:
-                by_pattern[r.pattern] = by_pattern.get(r.pattern, 0) + 1
-                by_statement[r.statement_1], by_statement[r.statement_2] = one + 1, two + 1
-                kept.append(k)
-        return pdf.sort_values("place").iloc[kept]
+        pdf = pdf.sort_values("place")
+        cross = (pdf.site != pdf.vendor) if len(pdf) else pdf.site
+        quota = min(most // 3, 12, int(cross.sum()))
+        kept: list[int] = []
+        by_pattern: dict = {}
+        by_statement: dict = {}
+        said: set = set()
+        for k, r in enumerate(pdf.itertuples(index=False)):
+            across = r.site != r.vendor
+            says = (r.pattern, r.text_1, r.text_2, r.explanation) if across else (r.pattern, r.text_1, r.text_2)
+            full = by_pattern.get(r.pattern, 0) >= CAPS[r.pattern] or max(by_statement.get(r.statement_1, 0), by_statement.get(r.statement_2, 0)) >= (4 if across else 2)
+            itself = not across and r.text_1 != "" and r.text_1 == r.text_2 and r.pattern != "modality"
+            if full or itself or says in said or (len(kept) < quota and not across):
+                continue
+            said.add(says)
+            by_pattern[r.pattern] = by_pattern.get(r.pattern, 0) + 1
+            for x in (r.statement_1, r.statement_2):
+                by_statement[x] = by_statement.get(x, 0) + 1
+            kept.append(k)
+            if len(kept) >= most:
+                break
+        return pdf.iloc[kept]
 
     return findings.groupBy("site", "vendor").applyInPandas(pick, findings.schema)
 
 
+def _with_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_texts(spark, sf_dir).withColumns({"text_1": F.trim("text_1"), "text_2": F.trim("text_2")})
+
+
 def curated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate(cross_policy_findings(spark, sf_dir))
+    return curate(_with_texts(spark, sf_dir)).select("pattern", "site", "vendor", "statement_1", "statement_2", "severity", "evidence", "place")
+
+
+_GRAVITY = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END"
 
 
 def research_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 gravest findings over all pairs, 35 of a pair at most: a top-k report."""
-    f = cross_policy_findings(spark, sf_dir).where("place <= 35")
-    rank = F.expr("CASE severity WHEN 'CRITICAL' THEN 0 ELSE 1 END")
-    return f.orderBy(rank, F.desc("n_violations"), "pattern", "site", "vendor", "place").limit(100).select("pattern", "site", "vendor", "statement_1", "statement_2", "severity")
+    """The 100 gravest findings over all pairs: a top-k report. So many of a pattern and 35 of a pair at first, then half as many again of each
+    pattern; no two with the same sentences and explanation; a modality finding's sentence has to name the data in question.
+
+    What a pattern and pair contribute is bounded by the pattern's cap, and what a pattern does by that of the pairs that are full: a few hundred
+    rows, ranked in parallel, are then gone through in sequence."""
+    df = _with_texts(spark, sf_dir)
+    words = F.array_sort(F.filter(F.split(F.lower("data_type"), " "), lambda x: F.length(x) >= 4), lambda a, b: F.length(b) - F.length(a))
+    named = (F.size(words) == 0) | F.exists(F.slice(words, 1, 2), lambda x: F.contains(F.lower("text_1"), x))
+    df = df.where((F.col("pattern") != "modality") | named).withColumn("gravity", F.expr(_GRAVITY)).withColumn("late", (F.col("pattern") != "modality").cast("int"))
+    order = ["gravity", "late", "site", "vendor", "statement_1", "statement_2", "pattern"]
+    once = Window.partitionBy("pattern", "text_1", "text_2", "explanation").orderBy(*order)
+    df = df.withColumn("k", F.row_number().over(once)).where("k = 1")
+    cap = max(int(c * RELAXED) for c in CAPS.values())
+    df = df.withColumn("k", F.row_number().over(Window.partitionBy("pattern", "site", "vendor").orderBy(*order))).where(F.col("k") <= cap)
+    # the first rows of each pattern are among the first of each of its 64 parts: one pass, and no window over all rows of a pattern
+    part = F.pmod(F.xxhash64("site", "vendor"), F.lit(64))
+    df = df.withColumn("k", F.row_number().over(Window.partitionBy("pattern", part).orderBy(*order))).where(F.col("k") <= cap * 4)
+    best = df.select("pattern", "site", "vendor", "statement_1", "statement_2", "severity", "gravity", "late")
+
+    def pick(batches):
+        rows = pd.concat(list(batches)).sort_values(["gravity", "late", "site", "vendor", "statement_1", "statement_2", "pattern"]).reset_index(drop=True)
+        taken: list[int] = []
+        by_pair: dict = {}
+        by_pattern: dict = {}
+        for relaxed in (False, True):
+            for k, r in enumerate(rows.itertuples(index=False)):
+                cap = int(CAPS[r.pattern] * RELAXED) if relaxed else CAPS[r.pattern]
+                pair = (r.site, r.vendor)
+                if k in taken or by_pattern.get(r.pattern, 0) >= cap or (not relaxed and (by_pair.get(pair, 0) >= PER_PAIR or len(taken) >= MOST)):
+                    continue
+                taken.append(k)
+                by_pair[pair], by_pattern[r.pattern] = by_pair.get(pair, 0) + 1, by_pattern.get(r.pattern, 0) + 1
+        out = rows.iloc[taken[:MOST]].assign(rank=range(1, min(MOST, len(taken)) + 1))
+        yield out[["rank", "pattern", "site", "vendor", "statement_1", "statement_2", "severity"]]
+
+    return best.repartition(1).mapInPandas(pick, "rank int, pattern string, site long, vendor long, statement_1 string, statement_2 string, severity string")
 
 
 def research_top_sql() -> str:
-    from .conflicts import cross_policy_findings_sql
-
-    return f"SELECT pattern, site, vendor, statement_1, statement_2, severity FROM ({cross_policy_findings_sql()}) WHERE place <= 35 ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 ELSE 1 END, n_violations DESC, pattern, site, vendor, place LIMIT 100"
+    caps = o.case("pattern", CAPS, 0)
+    order = "gravity, late, site, vendor, statement_1, statement_2, pattern"
+    return (
+        f"{all_findings_sql()}, t AS (SELECT f.*, trim(x.source_text) AS t1, trim(y.source_text) AS t2, x.data_type, {_GRAVITY} AS gravity, CASE WHEN pattern <> 'modality' THEN 1 ELSE 0 END AS late FROM findings f JOIN (SELECT * FROM sites UNION ALL SELECT * FROM vendors) x ON x.sid = statement_1 JOIN (SELECT * FROM sites UNION ALL SELECT * FROM vendors) y ON y.sid = statement_2), "
+        f"u AS (SELECT * FROM t WHERE (pattern <> 'modality' OR len(list_filter(string_split(lower(data_type), ' '), lambda w: length(w) >= 4)) = 0 OR len(list_filter(string_split(lower(data_type), ' '), lambda w: length(w) >= 4 AND contains(lower(t1), w))) > 0) QUALIFY row_number() OVER (PARTITION BY pattern, t1, t2, explanation ORDER BY {order}) = 1), "
+        f"r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY {order}) AS k FROM u), s AS (SELECT *, CASE WHEN k <= {caps} THEN 0 ELSE 1 END AS turn FROM r WHERE k <= floor({caps} * {RELAXED})) "
+        f"SELECT CAST(row_number() OVER (ORDER BY turn, {order}) AS INTEGER) AS rank, pattern, site, vendor, statement_1, statement_2, severity FROM s QUALIFY rank <= {MOST}"
+    )
 
 
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "cross_policy_findings"
-MODULES = ["conflicts", "ecosystem", "textual", "web", "crawl", "records", "graphs", "evaluation", "pipeline"]
+MODULES = ["conflicts", "ecosystem", "textual", "web", "crawl", "records", "graphs", "metrics", "evaluation", "pipeline"]
 
 
 def _all() -> dict[str, tuple]:
