@@ -472,6 +472,93 @@ def test_rules_reject_junk_and_keep_prose(spark):
 # --- the pipeline
 
 
+def brute_quality(rows, labels, threshold=0.4):
+    """Ids that the classifier keeps, with word vectors summed by one loop over the words. rows: (id, text), each id once."""
+    import pyarrow as pa
+
+    q = quality_classifier
+    texts = [q.tokens(pa.array([t], pa.string()))[0].tolist() for _, t in rows]
+    names = sorted(Counter(itertools.chain(*texts)))
+    assert len(names) <= q.WORDS  # each has a vector of its own
+    at, sign = q.Coder(np.array(names, np.uint64)).index_vectors()
+    place = {w: k for k, w in enumerate(names)}
+    total = np.zeros((len(names), q.DIMS))
+    for text in texts:
+        codes = [place[w] for w in text]
+        for k, w in enumerate(codes):
+            for near in codes[max(0, k - q.WINDOW) : k] + codes[k + 1 : k + 1 + q.WINDOW]:
+                np.add.at(total[w], at[near], sign[near])
+    unit = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)).astype(np.float32)
+    x = np.zeros((len(rows), 2 * q.DIMS), np.float32)
+    for k, text in enumerate(texts):
+        if text:
+            v = unit[[place[w] for w in text]]
+            x[k] = np.append(v.mean(0), v.std(0))
+    row = {i: k for k, (i, _) in enumerate(rows)}
+    chosen = sorted((i, y) for i, y in labels if i in row)
+    net = q.fit_network(np.stack([x[row[i]] for i, _ in chosen]), np.array([y for _, y in chosen]))
+    return {i for (i, _), p in zip(rows, net.probability(x)) if p >= threshold}
+
+
+def brute_leaks(rows, items):
+    """Ids of documents that repeat an item: every passage against every item, by sets of words and n-grams."""
+
+    def grams(w):
+        return {tuple(w[k : k + decontamination.GRAM]) for k in range(max(1, len(w) - decontamination.GRAM + 1))} if w else set()
+
+    toks = [words(t or "") for t in items]
+    n, mean, df = len(items), sum(map(len, toks)) / len(items), Counter(w for t in toks for w in set(t))
+    known = []
+    for text, t in zip(items, toks):
+        norm = decontamination.K1 * (1 - decontamination.B + decontamination.B * len(t) / mean)
+        imp = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (decontamination.K1 + 1) / (f + norm) for w, f in Counter(t).items()}
+        stride = 64
+        while stride < len(t):
+            stride *= 2
+        known.append((stride, imp, sum(imp.values()), *(grams(words(x)) for x in decontamination.split_item(text))))
+    out = set()
+    for i, text in rows:
+        w = words(text or "")
+        for stride in {k[0] for k in known}:
+            for lo in range(0, max(1, len(w) - stride), stride):
+                own = w[lo : lo + 2 * stride]
+                have, parts = set(own), {tuple(own[k : k + m]) for m in range(1, decontamination.GRAM + 1) for k in range(len(own) - m + 1)}
+                for size, imp, whole, *wanted in known:
+                    if size == stride and sum(v for x, v in imp.items() if x in have) >= decontamination.THRESHOLD * whole - 1e-9:
+                        if all(len(g & parts) >= decontamination.OVERLAP * len(g) for g in wanted):
+                            out.add(i)
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, docs, labels):
+    """run() against loops over the rows, stage by stage, with nothing of Spark in between."""
+    import hashlib
+
+    import corpus_pipeline as p
+
+    rows = sorted((tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()), key=lambda r: r[0])
+    assert len({r[0] for r in rows}) == len(rows) <= mixing.ROWS_A_BUCKET  # so that the streams are in order of ids
+    good = brute_quality([r[:2] for r in rows], [(r.doc_id, r.quality) for r in labels.where("doc_id is not null and quality is not null").collect()])
+    rows = [r for r in rows if r[0] in good]
+    first = {i: i for i, *_ in rows} | {i: c for i, c, *_ in brute_classes([r[:2] for r in rows])}
+    rows = [r for r in rows if first[r[0]] == r[0]]
+    leaked = brute_leaks([r[:2] for r in rows], [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()])
+    assert leaked
+    rows = [r for r in rows if r[0] not in leaked]
+    owner = defaultdict(list)
+    for i, text, lang, source in rows:
+        owner[source] += [(i, lang)] * len((text or "").split())
+    table, want = sharding.lookup_table(sharding.shard_names()), Counter()
+    for s, _, b, tokens in brute_mixture([(0, i, t, s) for i, t, _, s in rows], mixing.BLOCK_TOKENS, mixing.SHARD_SLOTS, mixing.SEED).values():
+        at = owner[s][b * mixing.BLOCK_TOKENS : (b + 1) * mixing.BLOCK_TOKENS]
+        for (i, lang), part in itertools.groupby(zip(at, tokens), key=lambda x: x[0]):
+            slot = int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
+            want[i, tuple(w for _, w in part), lang, s, slot, int(table[slot])] += 1
+    out = p.run(spark, SF).collect()
+    assert all(r.n_chars == len(r.text) for r in out)
+    assert Counter((r.doc_id, tuple(r.text.split()), r.lang, r.source, r.slot, r.shard) for r in out) == want
+
+
 def test_pipeline_stages_in_sequence(spark, docs):
     import corpus_pipeline as p
 
