@@ -85,7 +85,7 @@ class Coder:
     def index_vectors(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions and signs of the nonzero entries of each index vector."""
         h = np.concatenate([self.words, bs.mix(np.arange(TAIL, dtype=np.uint64))])
-        x = np.stack([bs.mix(h + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) for k in range(NONZERO)], axis=1)
+        x = np.stack([bs.mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) for k in range(NONZERO)], axis=1)
         return (x >> np.uint64(32)).astype(np.int64) % DIMS, 1.0 - 2.0 * (x & np.uint64(1)).astype(np.float64)
 
 
