@@ -55,9 +55,14 @@ def buffer_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
         texts = texts.combine_chunks()
     if isinstance(texts, pa.ChunkedArray):
         texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.large_string())
+    return bytes_of(texts, pa.large_string())
+
+
+def bytes_of(texts: pa.Array, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
+    """buffer_of one array, of strings or of binary values, whose large type is given."""
+    texts = texts.cast(kind)
     if texts.null_count:
-        texts = pc.fill_null(texts, "")
-    texts = texts.cast(pa.large_string())
+        texts = pc.fill_null(texts, pa.scalar("" if pa.types.is_large_string(kind) else b"", kind))
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offs, data = texts.buffers()

@@ -76,9 +76,16 @@ def signatures(grams: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarra
     return bs.mix(sig + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), size
 
 
-def sets_of(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    runs, h = bs.words(texts)
-    return bs.distinct_by_row(*bs.ngrams(h, runs.first, n))
+def sets_of(texts: pa.Array, n: int, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, row) of each text's set, by row; only so many bytes of text are cut into words at once."""
+    grams, row, begin = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for piece in pieces([pa.record_batch({"text": texts})], "text", limit):
+        runs, h = bs.words(piece.column("text"))
+        v, r = bs.distinct_by_row(*bs.ngrams(h, runs.first, n))
+        grams.append(v)
+        row.append(r + begin)
+        begin += piece.num_rows
+    return np.concatenate(grams), np.concatenate(row)
 
 
 def by_fragment(fragment: np.ndarray) -> np.ndarray:
@@ -190,6 +197,12 @@ def _blobs(values: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
+def _sliced(columns: dict[str, pa.Array], rows: int = 50_000) -> pa.Table:
+    """A table that travels in batches of so many rows: the JVM holds one of them at a time."""
+    whole = pa.record_batch(columns)
+    return pa.Table.from_batches([whole.slice(k, rows) for k in range(0, whole.num_rows, rows)], whole.schema)
+
+
 def _passed(t: pa.Table) -> pa.Table:
     """Rows of who has which set, and of the sets' widespread n-grams, as rows of _SHARED."""
     is_who = np.array([len(x.as_buffer()) > 0 for x in t.column("sizes")], bool)
@@ -232,22 +245,49 @@ def _share(key: tuple, t: pa.Table) -> pa.Table:
     five = np.frombuffer(packed(grams), np.uint8)
     del o, at, of, frequency, many
     trim()
-    return pa.table({"doc_id": none(n, pa.int64()), "sig": pa.array(sig[mine]), "size": none(n, pa.int32()), "shared": pa.array(np.diff(np.append(cut, len(who))).astype(np.int32)), "fragment": pa.array(np.full(n, key[0].as_py(), np.int32)), "grams": _blobs(five, cut, 5), "classes": _blobs(classes, cut, 1)})
-
-
-def _keys(segments: list[dict]) -> np.ndarray:
-    """A set's shared n-grams in the order of (class of frequency, hash)."""
-    parts = [
-        np.frombuffer(s["grams"], np.uint64) if s["fragment"] < 0 else _key(np.frombuffer(s["classes"], np.uint8), np.uint64(s["fragment"] << 40) | unpacked(s["grams"]))
-        for s in segments
-    ]
-    return np.sort(np.concatenate(parts))
-
-
-def _sort_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _sliced({"doc_id": none(n, pa.int64()), "sig": pa.array(sig[mine]), "size": none(n, pa.int32()), "shared": pa.array(np.diff(np.append(cut, len(who))).astype(np.int32)), "fragment": pa.array(np.full(n, key[0].as_py(), np.int32)), "grams": _blobs(five, cut, 5), "classes": _blobs(classes, cut, 1)})
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, length of each value) of a binary column; null counts as empty."""
+    data, offsets = bs.bytes_of(column, pa.large_binary())
+    return data, np.diff(offsets)
+
+
+def _keys(segments: pa.ListArray) -> pa.Array:
+    """Each set's shared n-grams in the order of (class of frequency, hash).  No object is made per segment, of which a set has as many
+    as there are fragments or n-grams in it."""
+    offsets = segments.offsets.to_numpy()
+    owner = np.repeat(np.arange(len(segments)), np.diff(offsets))
+    fragment, grams, classes = segments.flatten().flatten()
+    fragment = fragment.to_numpy()
+    spread = fragment < 0
+    ready, n = _bytes_of(grams.filter(pa.array(spread)))
+    own = np.repeat(owner[spread], n // 8)
+    five, _ = _bytes_of(grams.filter(pa.array(~spread)))
+    octave, n = _bytes_of(classes.filter(pa.array(~spread)))
+    place = np.repeat(fragment[~spread].astype(np.uint64) << np.uint64(40), n)
+    keys = np.append(np.frombuffer(ready.tobytes(), np.uint64), _key(octave, place | unpacked(five)))
+    own = np.append(own, np.repeat(owner[~spread], n))
+    keys = keys[np.lexsort((keys, own))]
+    count = np.bincount(own, minlength=len(segments))
+    return _blobs(keys.view(np.uint8), np.cumsum(count) - count, 8)
+
+
+def _sort_sets(batches: Iterator[pa.RecordBatch], limit: int = 250_000) -> Iterator[pa.RecordBatch]:
+    """Each set's keys, so many segments and n-grams at a time."""
     for batch in batches:
-        keys = [_keys(x).tobytes() for x in batch.column("segments").to_pylist()]
-        yield pa.record_batch({"sig": batch.column("sig"), "size": batch.column("size"), "keys": pa.array(keys, pa.binary())})
+        segments = batch.column("segments")
+        offsets = segments.offsets.to_numpy()
+        _, n = _bytes_of(segments.flatten().field("grams"))
+        total = np.append(0, np.cumsum(n // 5 + 1))[offsets - offsets[0]]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + limit, "right")) - 1)
+            mine = batch.slice(lo, hi - lo)
+            yield pa.record_batch({"sig": mine.column("sig"), "size": mine.column("size"), "keys": _keys(mine.column("segments"))})
+            lo = hi
+        trim()
 
 
 def needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
@@ -335,11 +375,12 @@ def _elect(t: float):
     return elect
 
 
-def _find_candidates(t: float, budget: int = 4_000_000):
-    """Pairs that share a list and whose link isn't certain by their common centre."""
+def _find_candidates(t: float, budget: int = 1_000_000, most: int = 2_000_000):
+    """Pairs that share a list and whose link isn't certain by their common centre.  About `most` different pairs are held; where a
+    part has more they leave at once, and one may leave again: repeats are taken out by whoever reads them."""
 
-    def candidates(key: tuple, tab: pa.Table) -> pa.Table:
-        sig, size, place, _, lists, side, star, near, centre = _prefixes(tab)
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, size, place, _, lists, side, star, near, centre = _prefixes(pa.Table.from_batches(list(batches)))
         names, code = np.unique(sig, return_inverse=True)
         o = np.lexsort((code, near, star, lists))
         code, size, place, lists, side, star, near, centre = (x[o] for x in (code, size, place, lists, side, star, near, centre))
@@ -358,9 +399,17 @@ def _find_candidates(t: float, budget: int = 4_000_000):
         end = np.minimum(unsure, here)
         end = np.maximum(end, block)
         n = end - begin
+        del sig, o, at, lists, star, near, centre, block, which, rank, limit, unsure, end
         found = np.zeros(0, np.int64)
         held: list[np.ndarray] = []
         total = np.cumsum(n)
+
+        def leave(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(found), 100_000):
+                a, b = np.divmod(found[k : k + 100_000], len(names))
+                apart = a != b
+                yield pa.record_batch({"a": pa.array(names[a[apart]]), "b": pa.array(names[b[apart]])})
+
         lo = 0
         while lo < len(n):
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + budget, "right")))
@@ -371,15 +420,15 @@ def _find_candidates(t: float, budget: int = 4_000_000):
             ok &= np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-6
             i, j = code[i[ok]], code[j[ok]]
             held.append(np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j)))
-            if sum(map(len, held)) > 8_000_000:
+            if sum(map(len, held)) > most:
                 found, held = np.unique(np.concatenate([found, *held])), []
+                if len(found) > most:
+                    yield from leave(found)
+                    found = found[:0]
             lo = hi
-        found = np.unique(np.concatenate([found, *held]))
-        a, b = found // max(1, len(names)), found % max(1, len(names))
-        a, b = a[a != b], b[a != b]
-        del o, held
+        yield from leave(np.unique(np.concatenate([found, *held])))
+        del found, held, n, total, begin, here, code, size, place, side
         trim()
-        return pa.table({"a": pa.array(names[a]), "b": pa.array(names[b])})
 
     return candidates
 

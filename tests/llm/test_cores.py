@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from clauseflow.llm import bytescan as bs
-from clauseflow.llm import html_extract, outliers, secret_scan, token_counts, toxicity
+from clauseflow.llm import html_extract, ngram_join, outliers, secret_scan, token_counts, toxicity
 
 WORDY = st.text("ab é.ñ\n_1!漢", max_size=40)
 
@@ -266,3 +267,58 @@ def test_the_worst_sentence_counts():
 def test_labels_of_one_kind_fit_nothing():
     (h, s), = sentences(["a b c"])
     assert toxicity.fit([(1, h, s)]) is None and toxicity.fit([]) is None
+
+
+# --- n-gram join
+
+
+def most_memory(work):
+    """(result, most MB held while working)."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_sets_in_many_fragments_are_sorted_in_little_memory():
+    rng = np.random.default_rng(5)
+    kind = pa.list_(pa.struct([("fragment", pa.int32()), ("grams", pa.binary()), ("classes", pa.binary())]))
+    few = [[{"fragment": k, "grams": rng.bytes(5 * (1 + k % 3)), "classes": bytes([k % 24] * (1 + k % 3))} for k in range(n)] for n in (1, 300, 461)]
+    few[1].append({"fragment": -1, "grams": rng.bytes(8 * 7), "classes": None})
+
+    def keys(segments):
+        out = []
+        for s in segments:
+            if s["fragment"] < 0:
+                out += np.frombuffer(s["grams"], np.uint64).tolist()
+            for c, k in zip(s["classes"] or b"", range(0, len(s["grams"]), 5)):
+                h = (s["fragment"] << 40) | int.from_bytes(s["grams"][k : k + 5], "little")
+                out.append(int(ngram_join._key(np.array([c], np.uint8), np.array([h], np.uint64))[0]))
+        return sorted(out)
+
+    segments = pa.concat_arrays([pa.array(few, kind)] * 200)
+    batch = pa.record_batch({"sig": pa.array(range(600)), "size": pa.array([500] * 600, pa.int32()), "segments": segments})
+    out, most = most_memory(lambda: pa.Table.from_batches(list(ngram_join._sort_sets(iter([batch.slice(1)])))))
+    assert out.column("sig").to_pylist() == list(range(1, 600))
+    want = [keys(x) for x in few]
+    for k, raw in enumerate(out.column("keys").to_pylist()[:9]):
+        assert np.frombuffer(raw, np.uint64).tolist() == want[(k + 1) % 3]
+    assert most < 40
+
+
+def test_candidates_of_a_dense_part_leave_in_parts():
+    n = 3000  # sets that all share one n-gram
+    values = (np.arange(n) * 7, np.full(n, 9), np.zeros(n), np.zeros(n), np.ones(n), np.zeros(n), np.arange(n) * 7, np.zeros(n), np.ones(n))
+    names = [x.split()[0] for x in ngram_join._PREFIXES.split(", ")]
+    rows = {"part": pa.array([0], pa.int32())} | {c: pa.array([v.astype(kind).tobytes()], pa.binary()) for c, v, kind in zip(names[1:], values, ngram_join._KINDS)}
+
+    def work():
+        pairs, batches = 0, 0
+        for b in ngram_join._find_candidates(0.5)(iter([pa.record_batch(rows)])):
+            assert b.num_rows <= 100_000 and (b.column("a").to_numpy() < b.column("b").to_numpy()).all()
+            pairs, batches = pairs + b.num_rows, batches + 1
+        return pairs, batches
+
+    (pairs, batches), most = most_memory(work)
+    assert pairs == n * (n - 1) // 2 and batches > 1 and most < 250
