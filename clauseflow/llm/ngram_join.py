@@ -191,6 +191,16 @@ def _counts(t: pa.Table) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
+def _grams(t: pa.Table) -> np.ndarray:
+    """The segments' n-grams, unpacked row by row into one array."""
+    rows = [x.as_buffer() for x in t.column("grams")]
+    end = np.cumsum([len(x) // 5 for x in rows], dtype=np.int64)
+    out = np.empty(int(end[-1]) if len(rows) else 0, np.uint64)
+    for x, e in zip(rows, end):
+        out[e - len(x) // 5 : e] = unpacked(x)
+    return out
+
+
 def _blobs(values: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
     """A binary column of slices of values' bytes, width a value, that start at `at`."""
     offsets = np.append(at, len(values) // width).astype(np.int64) * width
@@ -224,26 +234,31 @@ def _share(key: tuple, t: pa.Table) -> pa.Table:
         return _passed(t)
     sig = _joined(t.column("sigs"), np.int64)
     none = pa.nulls
-    counts = _counts(t)
-    grams = np.concatenate([unpacked(x.as_buffer()) for x in t.column("grams")])
     # equal sets have equal segments: the first stands for all
-    _, once = np.unique(sig, return_index=True)
+    once = np.unique(sig, return_index=True)[1]
     keep = np.zeros(len(sig), bool)
     keep[once] = True
-    grams, who = grams[np.repeat(keep, counts)], np.repeat(np.flatnonzero(keep), counts[keep])
+    counts = _counts(t)
+    grams = _grams(t)
+    if len(once) < len(sig):
+        grams = grams[np.repeat(keep, counts)]
+    who = np.repeat(np.flatnonzero(keep).astype(np.int32), counts[keep])
+    del once, keep, counts
     o = np.argsort(grams)
     at = runs_of(grams[o])
     frequency = np.diff(np.append(at, len(grams)))
-    of = np.empty(len(grams), np.int64)
-    of[o] = np.repeat(frequency, frequency)
-    many = of > 1
-    grams, who, of = grams[many], who[many], of[many]
+    # class 0 is of those in one set
+    octave = np.minimum(np.log2(np.maximum(frequency, 1)), 23).astype(np.uint8)
+    classes = np.empty(len(grams), np.uint8)
+    classes[o] = np.repeat(octave, frequency)
+    del o, at, frequency, octave
+    many = classes > 0
+    grams, who, classes = grams[many], who[many], classes[many]
     cut = runs_of(who)
-    classes = np.minimum(np.log2(np.maximum(of, 1)), 23).astype(np.uint8)
     n = len(cut)
     mine = who[cut]
     five = np.frombuffer(packed(grams), np.uint8)
-    del o, at, of, frequency, many
+    del grams, many
     trim()
     return _sliced({"doc_id": none(n, pa.int64()), "sig": pa.array(sig[mine]), "size": none(n, pa.int32()), "shared": pa.array(np.diff(np.append(cut, len(who))).astype(np.int32)), "fragment": pa.array(np.full(n, key[0].as_py(), np.int32)), "grams": _blobs(five, cut, 5), "classes": _blobs(classes, cut, 1)})
 
@@ -300,9 +315,18 @@ _KINDS = (np.int64, np.int32, np.int32, np.int32, np.uint64, np.uint8, np.int64,
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _emit_prefixes(t: float, parts: int, hot: Broadcast, tile: int, paired: bool):
+def _slices(total: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose running total grows by `limit` at most; a row of more is a range of its own."""
+    lo = 0
+    while lo < len(total):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _emit_prefixes(t: float, parts: int, hot: Broadcast, tile: int, paired: bool, limit: int = 200_000):
     """Each set's prefix, an entry a list of sets that share an n-gram.  The list of a widespread n-gram is split, for pairs into
-    tiles in which each two of its parts meet once."""
+    tiles in which each two of its parts meet once; an entry is repeated for each tile, so that entries are made `limit` at a time."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_gram, hot_class, times = hot.value
@@ -324,28 +348,32 @@ def _emit_prefixes(t: float, parts: int, hot: Broadcast, tile: int, paired: bool
                 continue
             key, who, place = map(np.concatenate, (key, who, place))
             rares = np.array([z - len(raw.as_buffer()) // 8 for z, raw in zip(size, batch.column("keys"))], np.int32)
-            side = np.zeros(len(key), np.uint8)
-            lists = key
+            g = np.ones(len(key), np.int64)
             if len(hot_key) and len(key):
                 at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
                 g = np.where(hot_key[at] == key, split[at], 1)
-                own = (bs.mix(sig[who].view(np.uint64) ^ key) % g.astype(np.uint64)).astype(np.int64)
-                many = g if paired else np.ones(len(g), np.int64)
-                i = np.repeat(np.arange(len(key)), many)
-                other = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            for lo, hi in _slices(np.cumsum(g if paired else np.ones(len(g), np.int64)), limit):
+                yield entries(key[lo:hi], who[lo:hi], place[lo:hi], g[lo:hi], sig, size, rares, star, near, centre)
+
+    def entries(key: np.ndarray, who: np.ndarray, place: np.ndarray, g: np.ndarray, sig: np.ndarray, size: np.ndarray, rares: np.ndarray, *of_star: np.ndarray) -> pa.RecordBatch:
+        side, lists = np.zeros(len(key), np.uint8), key
+        if (g > 1).any():
+            own = (bs.mix(sig[who].view(np.uint64) ^ key) % g.astype(np.uint64)).astype(np.int64)
+            other = own
+            if paired:
+                i = np.repeat(np.arange(len(key)), g)
+                other = np.arange(len(i)) - np.repeat(np.cumsum(g) - g, g)
                 key, who, place, own, g = key[i], who[i], place[i], own[i], g[i]
-                if not paired:
-                    other = own
-                lo, hi = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
-                side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8)
-                lists = np.where(g > 1, bs.mix(key + (lo * np.uint64(1 << 20) + hi + np.uint64(1)) * ODD), key)
-            part = (bs.mix(lists) % np.uint64(parts)).astype(np.int64)
-            o = by_fragment(part)
-            cut = runs_of(part[o])
-            columns = (sig[who], size[who].astype(np.int32), place, rares[who], lists, side, star[who], near[who], centre[who])
-            rows = [(int(part[i[0]]), *(c[i].tobytes() if k < 6 or paired else b"" for k, c in enumerate(columns))) for i in np.split(o, cut[1:]) if len(i)]
-            names = [x.split()[0] for x in _PREFIXES.split(", ")]
-            yield pa.record_batch([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(len(names))], names=names)
+            lo, hi = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+            side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8)
+            lists = np.where(g > 1, bs.mix(key + (lo * np.uint64(1 << 20) + hi + np.uint64(1)) * ODD), key)
+        part = (bs.mix(lists) % np.uint64(parts)).astype(np.int64)
+        o = by_fragment(part)
+        cut = runs_of(part[o])
+        columns = (sig, size.astype(np.int32), place, rares, lists, side, *of_star)
+        rows = [(int(part[i[0]]), *((c[i] if k in (2, 4, 5) else c[who[i]]).tobytes() if k < 6 or paired else b"" for k, c in enumerate(columns))) for i in np.split(o, cut[1:]) if len(i)]
+        names = [x.split()[0] for x in _PREFIXES.split(", ")]
+        return pa.record_batch([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(len(names))], names=names)
 
     return prefixes
 
@@ -354,18 +382,32 @@ def _prefixes(t: pa.Table) -> list[np.ndarray]:
     return [_joined(t.column(k + 1), kind) for k, kind in enumerate(_KINDS)]
 
 
-def _elect(t: float):
+def _by_list(lists: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Entries of whole lists, about `limit` at a time; the entries of a longer list are together."""
+    o = np.argsort(lists, kind="stable")
+    end = np.append(runs_of(lists[o])[1:], len(o))
+    for lo, hi in _slices(end, limit):
+        yield o[end[lo - 1] if lo else 0 : end[hi - 1]]
+
+
+def _elect(t: float, limit: int = 200_000):
     """For each set, the sets that are first in one of its lists, with the number of these lists: rows only in proportion to the lists."""
 
-    def elect(key: tuple, tab: pa.Table) -> pa.Table:
-        sig, size, _, rare, lists, *_ = _prefixes(tab)
+    def heads(sig: np.ndarray, size: np.ndarray, rare: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         o = np.lexsort((sig, rare / np.maximum(size, 1), lists))
         sig, size, rare, lists = sig[o], size[o], rare[o], lists[o]
         at = runs_of(lists)
         many = np.diff(np.append(at, len(lists)))
         head = np.repeat(at, many)
         ok = (sig != sig[head]) & (np.minimum(size, size[head]) >= t * np.maximum(size, size[head]) - 1e-6)
-        a, b, r = sig[ok], sig[head][ok], (rare / np.maximum(size, 1))[head][ok]
+        return sig[ok], sig[head][ok], (rare / np.maximum(size, 1))[head][ok]
+
+    def elect(key: tuple, tab: pa.Table) -> pa.Table:
+        sig, size, rare, lists = (_joined(tab.column(k + 1), _KINDS[k]) for k in (0, 1, 3, 4))
+        found = [heads(sig[i], size[i], rare[i], lists[i]) for i in _by_list(lists, limit)]
+        del sig, size, rare, lists
+        a, b, r = (np.concatenate([x[k] for x in found]) for k in range(3)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        del found
         o = np.lexsort((b, a))
         a, b, r = a[o], b[o], r[o]
         cut = runs_of(a, b)
@@ -375,13 +417,12 @@ def _elect(t: float):
     return elect
 
 
-def _find_candidates(t: float, budget: int = 1_000_000, most: int = 2_000_000):
-    """Pairs that share a list and whose link isn't certain by their common centre.  About `most` different pairs are held; where a
-    part has more they leave at once, and one may leave again: repeats are taken out by whoever reads them."""
+def _find_candidates(t: float, budget: int = 500_000, most: int = 1_000_000, limit: int = 200_000):
+    """Pairs that share a list and whose link isn't certain by their common centre.  Lists are worked through about `limit` entries at a time.
+    About `most` different pairs are held; where a part has more they leave at once, and one may leave again: repeats are taken out by whoever reads them."""
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, size, place, _, lists, side, star, near, centre = _prefixes(pa.Table.from_batches(list(batches)))
-        names, code = np.unique(sig, return_inverse=True)
+    def uncertain(code: np.ndarray, size: np.ndarray, place: np.ndarray, lists: np.ndarray, side: np.ndarray, star: np.ndarray, near: np.ndarray, centre: np.ndarray, sets: int) -> Iterator[np.ndarray]:
+        """Pairs of these entries, as products of the sets' numbers; of the lists all entries are here."""
         o = np.lexsort((code, near, star, lists))
         code, size, place, lists, side, star, near, centre = (x[o] for x in (code, size, place, lists, side, star, near, centre))
         at = runs_of(lists)
@@ -394,15 +435,27 @@ def _find_candidates(t: float, budget: int = 1_000_000, most: int = 2_000_000):
         which = np.cumsum(np.isin(here, block_at)) - 1
         levels = np.unique(near)
         width = len(levels) + 1
-        limit = np.searchsorted(levels, centre - near, "left")  # levels below the limit leave the pair uncertain
-        unsure = np.searchsorted(which * width + rank, which * width + limit, "left")
-        end = np.minimum(unsure, here)
-        end = np.maximum(end, block)
-        n = end - begin
-        del sig, o, at, lists, star, near, centre, block, which, rank, limit, unsure, end
+        at_most = np.searchsorted(levels, centre - near, "left")  # levels below leave the pair uncertain
+        unsure = np.searchsorted(which * width + rank, which * width + at_most, "left")
+        n = np.maximum(np.minimum(unsure, here), block) - begin
+        del o, at, lists, star, near, centre, block, which, rank, at_most, unsure
+        for lo, hi in _slices(np.cumsum(n), budget):
+            i = np.repeat(here[lo:hi], n[lo:hi])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + begin[i]
+            ok = (side[i] == 0) | (side[i] != side[j])
+            ok &= np.minimum(size[i] - place[i], size[j] - place[j]) >= needed(size[i], size[j], t)
+            ok &= np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-6
+            i, j = code[i[ok]].astype(np.int64), code[j[ok]].astype(np.int64)
+            yield np.unique(np.minimum(i, j) * sets + np.maximum(i, j))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, size, place, _, lists, side, star, near, centre = _prefixes(pa.Table.from_batches(list(batches)))
+        names, code = np.unique(sig, return_inverse=True)
+        code = code.astype(np.int32)
+        del sig, _
+        trim()
         found = np.zeros(0, np.int64)
         held: list[np.ndarray] = []
-        total = np.cumsum(n)
 
         def leave(found: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(found), 100_000):
@@ -410,24 +463,16 @@ def _find_candidates(t: float, budget: int = 1_000_000, most: int = 2_000_000):
                 apart = a != b
                 yield pa.record_batch({"a": pa.array(names[a[apart]]), "b": pa.array(names[b[apart]])})
 
-        lo = 0
-        while lo < len(n):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + budget, "right")))
-            i = np.repeat(here[lo:hi], n[lo:hi])
-            j = np.arange(len(i)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + begin[i]
-            ok = (side[i] == 0) | (side[i] != side[j])
-            ok &= np.minimum(size[i] - place[i], size[j] - place[j]) >= needed(size[i], size[j], t)
-            ok &= np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-6
-            i, j = code[i[ok]], code[j[ok]]
-            held.append(np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j)))
-            if sum(map(len, held)) > most:
-                found, held = np.unique(np.concatenate([found, *held])), []
-                if len(found) > most:
-                    yield from leave(found)
-                    found = found[:0]
-            lo = hi
+        for e in _by_list(lists, limit):
+            for pairs in uncertain(*(x[e] for x in (code, size, place, lists, side, star, near, centre)), len(names)):
+                held.append(pairs)
+                if sum(map(len, held)) > most:
+                    found, held = np.unique(np.concatenate([found, *held])), []
+                    if len(found) > most:
+                        yield from leave(found)
+                        found = found[:0]
         yield from leave(np.unique(np.concatenate([found, *held])))
-        del found, held, n, total, begin, here, code, size, place, side
+        del found, held, code, size, place, lists, side, star, near, centre
         trim()
 
     return candidates
@@ -502,20 +547,36 @@ def certain_links(sets: DataFrame) -> DataFrame:
     return sets.select("sig", "star", "near").join(counted, ["star", "near"]).select("sig", "links")
 
 
-def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set's segment in each of its block's vertical fragments, for each share of the block's pairs."""
+def _emit_segments(batches: Iterator[pa.RecordBatch], rows: int = 20_000, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Each set's segment in each of its block's vertical fragments, for each share of the block's pairs: so many rows and bytes at a time,
+    since a set of a large block has one for each fragment and share."""
     kinds = (pa.string(), pa.int64(), pa.int32(), pa.binary())
+    out: list[list] = [[] for _ in kinds]
+    held = 0
+
+    def gone() -> pa.RecordBatch:
+        nonlocal held
+        batch = pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=["unit", "sig", "size", "keys"])
+        for c in out:
+            c.clear()
+        held = 0
+        return batch
+
     for batch in batches:
-        out: list[list] = [[] for _ in kinds]
-        for block, cuts, shares, sig, size, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "cuts", "shares", "sig", "size", "keys"))):
-            keys = np.frombuffer(raw, np.uint64)
+        for block, cuts, shares, sig, size, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "cuts", "shares", "sig", "size")), batch.column("keys")):
+            keys = np.frombuffer(raw.as_buffer(), np.uint64)
             part = _cut_of(keys, cuts)
+            o = by_fragment(part)
+            keys, end = keys[o], np.searchsorted(part[o], np.arange(cuts), "right")
             for v in range(cuts):
-                mine = keys[part == v].tobytes()
+                mine = keys[end[v - 1] if v else 0 : end[v]].tobytes()
                 for k in range(shares):
                     for c, x in zip(out, (f"{block}/{v}/{k}", sig, size, mine)):
                         c.append(x)
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=["unit", "sig", "size", "keys"])
+                    held += len(mine)
+                    if len(out[0]) >= rows or held >= limit:
+                        yield gone()
+    yield gone()
 
 
 _OVERLAPS = "a long, b long, size_a int, size_b int, overlap long"
@@ -541,9 +602,9 @@ def _count_overlaps(key: tuple, segments: pa.Table, pairs: pa.Table) -> pa.Table
         own = local[start[x] : start[x] + lengths[x]]
         mark[own] = 1
         k = lo
-        while k < hi:  # a few million n-grams at a time
+        while k < hi:  # a million n-grams at a time
             total = np.cumsum(lengths[b[k:hi]])
-            j = k + max(1, int(np.searchsorted(total, 4_000_000, "right")))
+            j = k + max(1, int(np.searchsorted(total, 1_000_000, "right")))
             ys = b[k:j]
             n = lengths[ys]
             at = np.repeat(start[ys] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))

@@ -322,3 +322,153 @@ def test_candidates_of_a_dense_part_leave_in_parts():
 
     (pairs, batches), most = most_memory(work)
     assert pairs == n * (n - 1) // 2 and batches > 1 and most < 250
+
+
+class Held:
+    """A broadcast of a test."""
+
+    def __init__(self, *value):
+        self.value = tuple(np.array(v, kind) for v, kind in zip(value, (np.uint64, np.uint8, np.int64)))
+
+
+def entries_of(batches):
+    """(list, set, place, side) of each entry of prefix batches, and the most entries in a batch."""
+    out, most = [], 0
+    for b in batches:
+        columns = ngram_join._prefixes(pa.Table.from_batches([b]))
+        most = max(most, len(columns[0]))
+        out += zip(*(columns[k].tolist() for k in (4, 0, 2, 5)))
+    return out, most
+
+
+def test_prefixes_of_widespread_ngrams_leave_in_parts():
+    tile, times = 1000, 64_000  # each entry is in 64 tiles
+    hot = Held(range(1, 401), [24] * 400, [times] * 400)
+    keys = np.sort(ngram_join._key(hot.value[1], hot.value[0]))
+    n = 150
+    rows = {"sig": pa.array(range(n)), "size": pa.array([400] * n, pa.int32()), "keys": pa.array([keys.tobytes()] * n, pa.binary())}
+    rows |= {c: pa.array([v] * n) for c, v in (("star", 5), ("near", 6), ("centre", 7))}
+    batch = pa.record_batch(rows)
+
+    def work():
+        entries = big = 0
+        for b in ngram_join._emit_prefixes(0.5, 16, hot, tile, True)(iter([batch])):
+            here = sum(len(x.as_buffer()) for x in b.column("lists")) // 8
+            entries, big = entries + here, max(big, here)
+        return entries, big
+
+    (entries, big), most = most_memory(work)
+    assert entries == n * 201 * 64 and big <= 200_000 and most < 100
+    few = batch.slice(0, 20)
+    whole, _ = entries_of(ngram_join._emit_prefixes(0.5, 16, hot, tile, True, 10**9)(iter([few])))
+    parts, big = entries_of(ngram_join._emit_prefixes(0.5, 16, hot, tile, True, 1000)(iter([few])))
+    assert sorted(parts) == sorted(whole) and big <= 1000
+    lists = {}
+    for name, sig, _, side in whole:
+        lists.setdefault(name, []).append((sig, side))
+    met = {}  # any two sets meet once over an n-gram, those of one tile or of two
+    for members in lists.values():
+        for a, x in members:
+            for b, y in members:
+                if a < b and (x == 0 or x != y):
+                    met[a, b] = met.get((a, b), 0) + 1
+    assert met == {(a, b): 201 for a in range(20) for b in range(a + 1, 20)}
+
+
+def test_segments_of_a_large_block_leave_in_parts():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 64, 500, np.uint64) for _ in range(100)]
+    cuts, shares = 60, 40
+    batch = pa.record_batch({"block": pa.array([7] * 100), "cuts": pa.array([cuts] * 100, pa.int32()), "shares": pa.array([shares] * 100, pa.int32()), "sig": pa.array(range(100)), "size": pa.array([500] * 100, pa.int32()), "keys": pa.array([x.tobytes() for x in sets], pa.binary())})
+
+    def work():
+        rows, batches, got = 0, 0, {}
+        for b in ngram_join._emit_segments(iter([batch])):
+            rows, batches = rows + b.num_rows, batches + 1
+            if batches == 1:
+                for unit, sig, keys in zip(*(b.column(c).to_pylist()[: cuts * shares] for c in ("unit", "sig", "keys"))):
+                    got[unit] = (sig, np.frombuffer(keys, np.uint64))
+        return rows, batches, got
+
+    (rows, batches, got), most = most_memory(work)
+    assert rows == 100 * cuts * shares and batches > 1 and most < 40
+    cut = ngram_join._cut_of(sets[0], cuts)
+    for v in range(cuts):
+        for k in range(shares):
+            sig, keys = got[f"7/{v}/{k}"]
+            assert sig == 0 and keys.tolist() == sets[0][cut == v].tolist()
+
+
+def test_a_fragment_is_shared_in_little_memory():
+    def fragment(sets, rows):
+        """Rows of as many sets, a segment a set, and the n-grams of each set."""
+        rng = np.random.default_rng(11)
+        rows_, want = {c: [] for c in ("sigs", "counts", "grams")}, []
+        for r in range(rows):
+            n = rng.integers(1, 4, sets // rows)
+            h = rng.integers(0, sets, int(n.sum()), np.uint64)
+            sig = np.arange(len(n)) + r * len(n)
+            if r == rows - 1:  # a set again, as another batch has it
+                n, h, sig = np.append(n, want[0][1].size), np.append(h, want[0][1]), np.append(sig, want[0][0])
+            rows_["sigs"].append(sig.astype(np.int64).tobytes())
+            rows_["counts"].append(n.astype(np.uint16).tobytes())
+            rows_["grams"].append(ngram_join.packed(h))
+            want += zip(sig.tolist(), np.split(h, np.cumsum(n)[:-1]))
+        t = pa.table({"fragment": pa.array([3] * rows, pa.int32()), "sigs": pa.array(rows_["sigs"], pa.binary()), "sizes": pa.array([b""] * rows, pa.binary()), "counts": pa.array(rows_["counts"], pa.binary()), "grams": pa.array(rows_["grams"], pa.binary())})
+        return t, dict(want)
+
+    t, sets = fragment(3000, 6)
+    times = {}
+    for grams in sets.values():
+        for h in grams.tolist():
+            times[h] = times.get(h, 0) + 1
+    want = {(s, h, int(np.log2(times[h]))) for s, grams in sets.items() for h in grams.tolist() if times[h] > 1}
+    got = ngram_join._share((pa.scalar(3),), t).to_pylist()
+    assert {(r["sig"], h, c) for r in got for h, c in zip(ngram_join.unpacked(r["grams"]).tolist(), r["classes"])} == want
+    assert all(r["shared"] == len(r["classes"]) for r in got)
+    t, _ = fragment(500_000, 200)
+    _, most = most_memory(lambda: ngram_join._share((pa.scalar(3),), t))
+    assert most < 65
+
+
+@pytest.mark.parametrize("limit", [1, 50, 10**9])
+def test_lists_by_parts_give_what_they_give_at_once(limit):
+    rng = np.random.default_rng(8)
+    n = 600
+    sig = rng.integers(0, 60, n)
+    star, near, centre = sig % 5, rng.integers(0, 40, 60)[sig], np.full(n, 50)
+    lists = rng.integers(0, 40, n)
+    values = (sig, 20 + sig % 7, rng.integers(0, 4, n), sig % 3, lists, np.zeros(n), star, near, centre)
+    names = [x.split()[0] for x in ngram_join._PREFIXES.split(", ")]
+    t = pa.table({"part": pa.array([0], pa.int32())} | {c: pa.array([v.astype(kind).tobytes()], pa.binary()) for c, v, kind in zip(names[1:], values, ngram_join._KINDS)})
+    pairs = set()
+    for b in ngram_join._find_candidates(0.5, limit=limit)(iter(t.to_batches())):
+        pairs |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+    place, size = values[2], values[1]
+    want = set()
+    for i in range(n):
+        for j in range(n):
+            if lists[i] == lists[j] and sig[i] < sig[j] and not (star[i] == star[j] and near[i] + near[j] >= centre[i]):
+                if min(size[i] - place[i], size[j] - place[j]) >= ngram_join.needed(size[i : i + 1], size[j : j + 1], 0.5)[0]:
+                    want.add((int(sig[i]), int(sig[j])))
+    assert pairs == want
+    got = {(r["sig"], r["centre"]): r["votes"] for r in ngram_join._elect(0.5, limit)(None, t).to_pylist()}
+    votes = {}
+    for name in set(lists.tolist()):
+        members = np.flatnonzero(lists == name)
+        first = min(members, key=lambda i: (values[3][i] / size[i], sig[i]))
+        for i in members:
+            if sig[i] != sig[first]:
+                votes[int(sig[i]), int(sig[first])] = votes.get((int(sig[i]), int(sig[first])), 0) + 1
+    assert got == votes
+
+
+def test_a_part_of_many_lists_gives_candidates_in_little_memory():
+    n = 600_000
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 1 << 60, n)
+    values = (sig, np.full(n, 9), np.zeros(n), np.zeros(n), np.arange(n) // 2, np.zeros(n), sig, np.zeros(n), np.ones(n))
+    names = [x.split()[0] for x in ngram_join._PREFIXES.split(", ")]
+    rows = {"part": pa.array([0], pa.int32())} | {c: pa.array([v.astype(kind).tobytes()], pa.binary()) for c, v, kind in zip(names[1:], values, ngram_join._KINDS)}
+    pairs, most = most_memory(lambda: sum(b.num_rows for b in ngram_join._find_candidates(0.5)(iter([pa.record_batch(rows)]))))
+    assert pairs == n // 2 and most < 90
