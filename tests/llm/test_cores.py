@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from clauseflow.llm import bytescan as bs
-from clauseflow.llm import html_extract, ngram_join, outliers, secret_scan, token_counts, toxicity
+from clauseflow.llm import html_extract, ngram_join, outliers, quality_classifier, secret_scan, token_counts, toxicity
 
 WORDY = st.text("ab é.ñ\n_1!漢", max_size=40)
 
@@ -472,3 +472,31 @@ def test_a_part_of_many_lists_gives_candidates_in_little_memory():
     rows = {"part": pa.array([0], pa.int32())} | {c: pa.array([v.astype(kind).tobytes()], pa.binary()) for c, v, kind in zip(names[1:], values, ngram_join._KINDS)}
     pairs, most = most_memory(lambda: sum(b.num_rows for b in ngram_join._find_candidates(0.5)(iter([pa.record_batch(rows)]))))
     assert pairs == n // 2 and most < 90
+
+
+def test_context_sums_of_a_batch_take_little_memory():
+    class Docs:
+        """Takes the function that a plan would run."""
+
+        def __getattr__(self, name):
+            return self
+
+        def broadcast(self, words):
+            return type("Sent", (), {"value": words})()
+
+        def mapInArrow(self, work, _):
+            self.work = work
+            return self
+
+        select = groupBy = applyInArrow = lambda self, *_: self
+
+        def collect(self):
+            return []
+
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"w{k}" for k in rng.integers(0, 30_000, 700)) for _ in range(900)])
+    h = bs.words(texts)[1]
+    docs = Docs()
+    quality_classifier.context_table(docs, np.unique(h))
+    _, most = most_memory(lambda: sum(b.num_rows for b in docs.work(iter([pa.record_batch({"text": texts})]))))
+    assert most < 74
