@@ -32,6 +32,9 @@ from .decontamination import Lookup
 WORDS, TAIL, DIMS, NONZERO, WINDOW = 1 << 16, 1 << 12, 64, 4, 2
 CHUNK = 1024  # words in a row of the partial table
 PIECE = 1 << 20
+SPAN, RUN, SLAB = 1 << 18, 16, 1 << 10  # words whose contexts are held at once; words added up before they go to the text's sum, such runs held at once
+MOST = 127 // (2 * WINDOW * NONZERO)  # contexts whose sum fits a byte, whatever they are
+UNIT = 2.0**32  # sums of runs are added as integers: in any order, beside any other texts, to the same bits
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,22 +91,75 @@ class Coder:
         x = np.stack([bs.mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) for k in range(NONZERO)], axis=1)
         return (x >> np.uint64(32)).astype(np.int64) % DIMS, 1.0 - 2.0 * (x & np.uint64(1)).astype(np.float64)
 
-
-def contexts(code: np.ndarray, first: np.ndarray, at: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words of a batch, sums of their neighbours' index vectors)."""
-    row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
-    own, local = np.unique(code, return_inverse=True)
-    flat = np.zeros(len(own) * DIMS)
-    for step in range(1, WINDOW + 1):
-        if len(code) <= step:
-            break
-        same = row[step:] == row[:-step]
-        left, right = local[:-step][same], local[step:][same]
-        for a, b in ((left, right), (right, left)):
-            word = own[b]
-            for k in range(NONZERO):
-                flat += np.bincount(a * DIMS + at[word, k], sign[word, k], minlength=flat.size)
-    return own, flat.reshape(-1, DIMS)
+    def index_table(self) -> np.ndarray:
+        """The index vectors, and one of zeros behind them."""
+        at, sign = self.index_vectors()
+        table = np.zeros((self.size + 1, DIMS), np.int8)
+        np.add.at(table, (np.arange(self.size)[:, None], at), sign.astype(np.int8))
+        return table
+
+
+def in_step(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """(the runs, longest first; places that are first in their run, then those that are second, and so on, in that order of runs): `sums[: len(places)] += values[places]`.
+
+    Adds up whole rows side by side; a reduceat along them would go through each column by itself, a row's width from one number to the next."""
+    order = np.argsort(-length, kind="stable")
+    first = start[order]
+    live = np.searchsorted(-length[order], -np.arange(length.max(initial=0)), "left")
+    return order, (first[:n] + k for k, n in enumerate(live))
+
+
+def runs_of(first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first run of each group, start, length): groups of places cut into runs of at most so many."""
+    cuts = np.append(0, np.cumsum(-(-np.diff(first) // most)))
+    n = np.diff(cuts)
+    start = np.repeat(first[:-1] - cuts[:-1] * most, n) + np.arange(cuts[-1]) * most
+    return cuts, start, np.minimum(np.repeat(first[1:], n) - start, most)
+
+
+def contexts(code: np.ndarray, first: np.ndarray, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, sums of their neighbours' index vectors) of each SPAN of a batch's words; index: the vectors, and one of zeros behind them."""
+    rows, none = len(first) - 1, len(index) - 1
+    spaced = np.full(len(code) + WINDOW * (rows + 1), none, np.int32)  # the end of a text is no neighbour of the next one's beginning
+    spaced[np.arange(len(code)) + WINDOW * (1 + np.repeat(np.arange(rows), np.diff(first)))] = code
+    for lo in range(0, len(spaced) - 2 * WINDOW, SPAN):
+        part = spaced[lo : lo + SPAN + 2 * WINDOW]
+        v, size = index.take(part, axis=0), len(part) - 2 * WINDOW
+        near = np.zeros((size, DIMS), np.int8)
+        for step in range(2 * WINDOW + 1):
+            if step != WINDOW:
+                near += v[step : step + size]
+        words = part[WINDOW : WINDOW + size]
+        at = np.flatnonzero(words != none)
+        own, local = distinct(words[at], none)
+        at = at[np.argsort(local, kind="stable")]
+        yield own, sums_by_group(near, at, np.append(0, np.cumsum(np.bincount(local, minlength=len(own)))))
+
+
+def distinct(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes in order, which of them each is), for codes under `size`: np.unique without a sort."""
+    seen = np.zeros(size, bool)
+    seen[code] = True
+    own = np.flatnonzero(seen)
+    number = np.empty(size, np.uint16 if len(own) <= 1 << 16 else np.int32)  # numpy sorts 16 bits by counting
+    number[own] = np.arange(len(own))
+    return own, number[code]
+
+
+def sums_by_group(near: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of near[at], by group; no group is empty. Runs of MOST fit a byte, their sums are added as wider numbers, again by runs."""
+    values, most = near, MOST
+    while True:
+        cuts, start, length = runs_of(first, most)
+        sums = np.zeros((len(start), DIMS), values.dtype)
+        order, steps = in_step(start, length)
+        for places in steps:
+            sums[: len(places)] += values.take(at[places] if values is near else places, axis=0)
+        values = np.empty((len(start), DIMS), np.int32)
+        values[order] = sums
+        if len(values) == len(first) - 1:
+            return values
+        first, most = cuts, RUN
 
 
 def context_table(docs: DataFrame, words: np.ndarray) -> np.ndarray:
@@ -113,13 +169,13 @@ def context_table(docs: DataFrame, words: np.ndarray) -> np.ndarray:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
-        at, sign = coder.index_vectors()
+        index = coder.index_table()
         total, seen = np.zeros((size, DIMS), np.int32), np.zeros(size, bool)
         for piece in pieces(batches, "text", PIECE):
             h, first = tokens(piece.column("text"))
-            own, sums = contexts(coder(h), first, at, sign)
-            total[own] += sums.astype(np.int32)
-            seen[own] = True
+            for own, sums in contexts(coder(h), first, index):
+                total[own] += sums
+                seen[own] = True
         codes = np.flatnonzero(seen)
         small = np.abs(total[codes]).max(axis=1) < 128 if len(codes) else np.zeros(0, bool)
         for group, kind in ((codes[small], np.int8), (codes[~small], np.int32)):  # most words are rare: a byte holds their sums
@@ -151,18 +207,23 @@ def context_table(docs: DataFrame, words: np.ndarray) -> np.ndarray:
 def features(texts: pa.Array, coder: Coder, table: np.ndarray) -> np.ndarray:
     """Mean and spread of the context vectors of each text's words."""
     h, first = tokens(texts)
-    counts = np.diff(first)
-    out = np.zeros((len(counts), 2 * DIMS), np.float32)
-    have = counts > 0
-    if have.any():
-        v = table[coder(h)]
-        at = first[:-1][have]
-        n = counts[have][:, None].astype(np.float32)
-        mean = np.add.reduceat(v, at, axis=0) / n
-        np.square(v, out=v)
-        out[have, :DIMS] = mean
-        out[have, DIMS:] = np.sqrt(np.maximum(np.add.reduceat(v, at, axis=0) / n - mean**2, 0))
-    return out
+    counts, code = np.diff(first), coder(h)
+    total = np.zeros((2, len(counts), DIMS), np.int64)
+    cuts, start, length = runs_of(first, RUN)
+    text = np.repeat(np.arange(len(counts)), np.diff(cuts))
+    for lo in range(0, len(start), SLAB):
+        own = text[lo : lo + SLAB]
+        sums = np.zeros((2, len(own), DIMS), np.float32)
+        order, steps = in_step(start[lo : lo + SLAB], length[lo : lo + SLAB])
+        for places in steps:
+            v = table.take(code[places], axis=0)
+            sums[0, : len(v)] += v
+            sums[1, : len(v)] += np.square(v, out=v)
+        sums[:, order] = sums.copy()
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        total[:, own[heads]] += np.add.reduceat(np.rint(sums * UNIT).astype(np.int64), heads, axis=1)
+    mean, square = total / UNIT / np.maximum(counts, 1)[:, None]
+    return np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0))]).astype(np.float32)
 
 
 @dataclass

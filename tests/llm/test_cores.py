@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -500,3 +501,69 @@ def test_context_sums_of_a_batch_take_little_memory():
     quality_classifier.context_table(docs, np.unique(h))
     _, most = most_memory(lambda: sum(b.num_rows for b in docs.work(iter([pa.record_batch({"text": texts})]))))
     assert most < 74
+
+
+def vectors_of(coder):
+    rng = np.random.default_rng(6)
+    return rng.normal(size=(coder.size, quality_classifier.DIMS)).astype(np.float32)
+
+
+@given(st.lists(st.one_of(st.none(), st.text("ab !", max_size=60), st.sampled_from(["a " * 500, "a b " * 300])), max_size=6), st.integers(1, 40), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_contexts_and_features_are_those_of_loops_over_the_words(texts, span, slab):
+    q = quality_classifier
+    h, first = q.tokens(pa.array(texts, pa.string()))
+    coder = q.Coder(np.unique(h)[::2])  # the other words share vectors
+    code, index, table = coder(h), coder.index_table(), vectors_of(coder)
+    wanted, mean_and_spread = np.zeros((coder.size, q.DIMS), int), np.zeros((len(texts), 2 * q.DIMS))
+    for k, (lo, hi) in enumerate(itertools.pairwise(first)):
+        own = code[lo:hi]
+        for i, w in enumerate(own):
+            for near in [*own[max(0, i - q.WINDOW) : i], *own[i + 1 : i + 1 + q.WINDOW]]:
+                wanted[w] += index[near]
+        if len(own):
+            v = table[own].astype(float)
+            mean_and_spread[k] = np.append(v.mean(0), v.std(0))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(q, "SPAN", span)
+        m.setattr(q, "SLAB", slab)
+        total = np.zeros_like(wanted)
+        for own, sums in q.contexts(code, first, index):
+            total[own] += sums
+        mine = q.features(pa.array(texts, pa.string()), coder, table)
+    alone = [q.features(pa.array([t], pa.string()), coder, table)[0] for t in texts]
+    assert (total == wanted).all() and (np.reshape(alone, mine.shape) == mine).all()  # whatever texts are beside it
+    np.testing.assert_allclose(mine**2, mean_and_spread**2, atol=1e-5)  # squares: a spread of nothing is a root of rounding
+
+
+def test_contexts_at_their_largest_still_fit_a_byte():
+    q = quality_classifier
+    index = np.array([[q.NONZERO] * q.DIMS, [-q.NONZERO] * q.DIMS, [0] * q.DIMS], np.int8)  # all entries of a vector in one place
+    for word, sign in ((0, 1), (1, -1)):
+        ((own, sums),) = q.contexts(np.full(1000, word, np.int32), np.array([0, 1000]), index)
+        assert own.tolist() == [word] and (sums == sign * q.NONZERO * (4 * 1000 - 6)).all()
+
+
+def test_features_of_a_batch_take_little_memory():
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"w{k}" for k in rng.zipf(1.3, 700) % 30_000) for _ in range(300)] + ["some words " * 50_000])
+    coder = quality_classifier.Coder(np.unique(bs.words(texts)[1]))
+    table = vectors_of(coder)
+    x, most = most_memory(lambda: quality_classifier.features(texts, coder, table))
+    assert x.shape == (301, 2 * quality_classifier.DIMS) and most < 60
+
+
+def test_features_of_a_batch_cost_little_beside_its_words():
+    def seconds(work):
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            work()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"w{k}" for k in rng.zipf(1.3, 600) % 30_000) for _ in range(400)])
+    coder = quality_classifier.Coder(np.unique(bs.words(texts)[1]))
+    table = vectors_of(coder)
+    assert seconds(lambda: quality_classifier.features(texts, coder, table)) < 4 * seconds(lambda: coder(quality_classifier.tokens(texts)[0]))
