@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows times bytes up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a scratch table that a writing task holds until it writes them; Parquet's default is 128 MB.
+ROW_GROUP = 16 << 20
 
 
 def trim() -> None:
@@ -60,7 +62,7 @@ def scratch(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     hadoop.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     forget(spark)
     return spark.read.schema(df.schema).parquet(path)

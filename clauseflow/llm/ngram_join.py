@@ -45,6 +45,7 @@ from .components import components
 
 N, THRESHOLD = 3, 0.5
 FRAGMENT = 2_000_000  # postings in a fragment, by intent
+PARTS = 4  # parts of the lists of sets that share an n-gram, for each `FRAGMENT` n-grams: a task holds all columns of its lists
 PAIRS = 2_000_000  # candidate pairs counted at once, by intent
 CUTS = 4  # vertical fragments of a block, at least
 HOT = 1 / 1024  # share of documents from which an n-gram counts as widespread; there are at most a document's mean n-grams / HOT of them
@@ -324,6 +325,13 @@ def _slices(total: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _small(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about `limit` bytes: the JVM holds every batch that it gets from a worker whole, outside its heap."""
+    step = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+    for k in range(0, batch.num_rows, step):
+        yield batch.slice(k, step)
+
+
 def _emit_prefixes(t: float, parts: int, hot: Broadcast, tile: int, paired: bool, limit: int = 200_000):
     """Each set's prefix, an entry a list of sets that share an n-gram.  The list of a widespread n-gram is split, for pairs into
     tiles in which each two of its parts meet once; an entry is repeated for each tile, so that entries are made `limit` at a time."""
@@ -353,7 +361,7 @@ def _emit_prefixes(t: float, parts: int, hot: Broadcast, tile: int, paired: bool
                 at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
                 g = np.where(hot_key[at] == key, split[at], 1)
             for lo, hi in _slices(np.cumsum(g if paired else np.ones(len(g), np.int64)), limit):
-                yield entries(key[lo:hi], who[lo:hi], place[lo:hi], g[lo:hi], sig, size, rares, star, near, centre)
+                yield from _small(entries(key[lo:hi], who[lo:hi], place[lo:hi], g[lo:hi], sig, size, rares, star, near, centre))
 
     def entries(key: np.ndarray, who: np.ndarray, place: np.ndarray, g: np.ndarray, sig: np.ndarray, size: np.ndarray, rares: np.ndarray, *of_star: np.ndarray) -> pa.RecordBatch:
         side, lists = np.zeros(len(key), np.uint8), key
@@ -646,9 +654,9 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, fragment: in
 
     grams = sets.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
     pieces_ = max(1, math.ceil(grams / fragment))
-    starred = with_stars(sets, t, pieces_, shared_hot, tile, cuts)
+    starred = with_stars(sets, t, PARTS * pieces_, shared_hot, tile, cuts)
     discard(sets)
-    candidates = starred.mapInArrow(_emit_prefixes(t, pieces_, shared_hot, tile, True), _PREFIXES).groupBy("part").applyInArrow(_find_candidates(t), "a long, b long")
+    candidates = starred.mapInArrow(_emit_prefixes(t, PARTS * pieces_, shared_hot, tile, True), _PREFIXES).groupBy("part").applyInArrow(_find_candidates(t), "a long, b long")
     candidates = candidates.distinct().sortWithinPartitions("a", "b")  # in order they compress, here and in the next shuffle
     candidates = scratch(candidates, "candidates")
     # blocks that no candidate pair crosses, several components in each

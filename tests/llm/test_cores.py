@@ -342,6 +342,14 @@ def entries_of(batches):
     return out, most
 
 
+def test_prefixes_travel_in_small_batches():
+    keys, n = np.arange(1, 401, dtype=np.uint64), 1200
+    rows = {"sig": pa.array(range(n)), "size": pa.array([400] * n, pa.int32()), "keys": pa.array([keys.tobytes()] * n, pa.binary())}
+    rows |= {c: pa.array([v] * n) for c, v in (("star", 5), ("near", 6), ("centre", 7))}
+    sizes = [(b.nbytes, sum(len(x.as_buffer()) for x in b.column("lists")) // 8) for b in ngram_join._emit_prefixes(0.5, 64, Held([], [], []), 1000, True)(iter([pa.record_batch(rows)]))]
+    assert sum(k for _, k in sizes) == n * 201 and max(b for b, _ in sizes) < 4 << 20
+
+
 def test_prefixes_of_widespread_ngrams_leave_in_parts():
     tile, times = 1000, 64_000  # each entry is in 64 tiles
     hot = Held(range(1, 401), [24] * 400, [times] * 400)

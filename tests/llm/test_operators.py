@@ -7,6 +7,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -584,3 +586,14 @@ def test_pipeline_of_awkward_rows(spark, awkward, nothing):
         for name, stage in p.STAGES:
             at = common.scratch(stage(spark, at, SF), "awkward")
         assert at.columns == [*p.COLUMNS, "slot", "shard"]
+
+
+def test_batches_for_workers_and_row_groups_follow_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.nbytes])})
+
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id", "array_join(transform(sequence(1, 100), k -> sha2(concat_ws('/', id, k), 256)), '') AS text")
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 4 << 20
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in common.scratch(docs, "groups").inputFiles()]
+    assert max(g.row_group(k).total_byte_size for g in groups for k in range(g.num_row_groups)) < 20 << 20
