@@ -180,3 +180,19 @@ def test_meetings_are_those_of_related_types(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "site long, vendor long")
     got = sorted((r.w_data_type, r.v_data_type) for r in patterns.meet(w, v, pairs).collect())
     assert got == sorted(o.related())
+
+
+def test_packed_statements_come_back_as_they_were(spark):
+    rows = [
+        ("share", "analytics", "email address", True, 3, 5.5, "a"), ("fly", "", "personal data", None, 0, None, ""), (None, "a purpose of its own", "age", False, None, 1.0, None), ("sell", None, "name", True, 6, 0.0, "ü"),
+    ]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "policy long, action string, purpose string, data_type string, broad boolean, need int, days double, sid string")
+    small, back = patterns.packed(df, df.columns[1:], ["policy"])
+    assert not {"action", "purpose", "data_type", "broad", "need"} & set(small.columns)
+    got = small.select("policy", *[back[c].alias(c) for c in df.columns[1:]])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect())) and got.dtypes == df.dtypes
+
+
+def test_findings_are_not_shuffled(spark):
+    plan = registry.queries()["cross_policy_findings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")]
