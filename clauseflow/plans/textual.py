@@ -226,10 +226,9 @@ def graph_metrics_sql() -> str:
 
 def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of a site beside equal or subsuming types of its vendors."""
-    types = lambda f, who: f(spark, sf_dir).select(F.col("policy").alias(who), F.col("data_type").alias(f"{who}_type")).distinct()
-    rel = o.frame(spark, o.related(), "site_type string, vendor_type string")
-    df = synth.pairs(spark, sf_dir).join(types(synth.site_statements, "site"), "site").join(rel, "site_type").join(types(synth.vendor_statements, "vendor"), ["vendor", "vendor_type"])
-    return df.select("site", "vendor", "site_type", "vendor_type", (F.col("site_type") == F.col("vendor_type")).alias("same"))
+    from .graphs import related_types
+
+    return related_types(spark, sf_dir).withColumn("same", F.col("site_type") == F.col("vendor_type"))
 
 
 def aligned_pairs_sql() -> str:

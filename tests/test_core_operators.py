@@ -196,3 +196,24 @@ def test_packed_statements_come_back_as_they_were(spark):
 def test_findings_are_not_shuffled(spark):
     plan = registry.queries()["cross_policy_findings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Join")]
+
+
+def test_claims_are_looked_up_not_ranked(spark):
+    plan = lambda q: registry.queries()[q](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window [row_number() windowspecdefinition(site" not in plan("claimed_statements")
+    moved = [x for q in ("aligned_pairs", "aligned_neighbourhoods", "rescued_orphans") for x in plan(q).splitlines() if "Exchange hashpartitioning(" in x]
+    assert moved and not any(k in x for x in moved for k in ("vendor_type#", "kind#", "own#", "site_type#") if "policy#" not in x)
+
+
+def test_streams_of_groups_choose_as_the_rules_say(spark):
+    row = lambda clause, place, tokens, kind="name": (clause, place, tokens, "share", kind)
+    cols = "clause long, place long, tokens array<string>, action string, kind string"
+    gold = spark.createDataFrame([row(c, k, ["a", "b", str(k)]) for c in range(40) for k in range(3)], cols)
+    met = evaluation.greedy_match(gold, gold)
+    assert sorted((r.clause, r.gold, r.predicted, r.score) for r in met.collect()) == [(c, k, k, 1.0) for c in range(40) for k in range(3)]
+    assert "FlatMapGroups" not in met._jdf.queryExecution().executedPlan().toString()
+    f = [(s, 7, k + 1, p, f"w{k}", f"v{k % 2}", f"t{k}", "u", "x") for s in (1, 2) for k, p in enumerate(["modality"] * 25 + ["retention"] * 9)]
+    f = spark.createDataFrame(f, "site long, vendor long, place int, pattern string, statement_1 string, statement_2 string, text_1 string, text_2 string, explanation string")
+    got = evaluation.curate(f)
+    assert got.columns == f.columns and "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.site, r.place) for r in got.collect()) == [(s, k) for s in (1, 2) for k in range(1, 9)]
