@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ontology as o
 from ..operators.labels import labels_sql, rule_labels
+from ..operators.patterns import spread
 from . import fixtures, synth
 from .conflicts import all_findings_sql, cross_policy_findings, cross_policy_findings_sql, with_texts
 from .synth import table
@@ -112,9 +113,11 @@ def statement_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of both sides in one table, each with its side by the prefix of its source, kept once by id, and its place in the order by length."""
     w = synth.site_statements(spark, sf_dir).withColumn("policy_source", F.lit("first_party"))
     v = synth.vendor_statements(spark, sf_dir).withColumn("policy_source", F.concat(F.lit("third_party:v"), "policy"))
-    once = w.unionByName(v).groupBy("sid").agg(F.min(F.struct("policy_source", "policy", "data_type", "source_text")).alias("x")).select("sid", "x.*")
+    # as many parts as the tables' bytes ask for, so that a task's share doesn't grow with them
+    parts = spread(table(spark, sf_dir, "lineitem"))
+    once = w.unionByName(v).select("sid", "policy_source", "policy", "data_type", "source_text").repartition(parts, "sid").groupBy("sid").agg(F.min(F.struct("policy_source", "policy", "data_type", "source_text")).alias("x")).select("sid", "x.policy_source", "x.policy", F.length("x.data_type").alias("n_type"), F.length("x.source_text").alias("n_text")).repartition(parts, "policy")
     side = F.when(F.startswith("policy_source", F.lit("third_party")), "vendor").otherwise("website")
-    place = F.row_number().over(Window.partitionBy(side, "policy").orderBy(F.length("data_type"), F.length("source_text"), "sid"))
+    place = F.row_number().over(Window.partitionBy(side, "policy").orderBy("n_type", "n_text", "sid"))
     return once.select("sid", side.alias("side"), place.alias("place"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import ontology as o
 from ..functions import text as t
 from ..operators import normalise, segment
-from ..operators.labels import labels_sql, rule_labels
+from ..operators.labels import labels_sql, rule_bits, rule_labels
+from ..operators.patterns import spread
 from . import fixtures, synth
 
 
@@ -176,12 +177,16 @@ def category_disclosure_sql() -> str:
 
 def coverage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one side of each pair covers and the other doesn't, with a label of the asymmetry."""
-    sets = lambda side: _coverage(_labelled(spark, sf_dir, side)).groupBy("policy").agg(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("category")))).alias(side))
-    df = synth.pairs(spark, sf_dir).join(sets("site").withColumnsRenamed({"policy": "s", "site": "a"}), F.col("site") == F.col("s")).join(sets("vendor").withColumnsRenamed({"policy": "v", "vendor": "b"}), F.col("vendor") == F.col("v"))
-    joined = lambda x: F.array_join(F.array_sort(x), "; ")
-    gap = (F.size("a") - F.size("b")) * 100.0 / 18
+    # a policy's categories are bits of one number, which goes with the pair to its site
+    sets = lambda f, side, key: f(spark, sf_dir).select(F.col("policy").alias(key), rule_bits(*map(F.col, ("source_text", "action", "purpose", "recipient", "temporality", "data_type"))).alias("shown")).groupBy(key).agg(F.bit_or("shown").alias(side))
+    p = synth.pairs(spark, sf_dir)
+    df = p.join(sets(synth.vendor_statements, "b", "vendor"), "vendor").repartition(spread(p), "site").join(sets(synth.site_statements, "a", "site"), "site")
+    place = {c: k for k, c in enumerate(o.CATEGORIES)}
+    joined = lambda bits: F.array_join(F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << place[c])) != 0, c) for c in sorted(place)])), "; ")
+    a, b = F.col("a"), F.col("b")
+    gap = (F.bit_count("a") - F.bit_count("b")) * 100.0 / 18
     return df.select(
-        "site", "vendor", joined(F.array_except("a", "b")).alias("only_site"), joined(F.array_except("b", "a")).alias("only_vendor"), joined(F.array_intersect("a", "b")).alias("both"), (18 - F.size(F.array_union("a", "b"))).alias("neither"),
+        "site", "vendor", joined(a.bitwiseAND(F.bitwise_not(b))).alias("only_site"), joined(b.bitwiseAND(F.bitwise_not(a))).alias("only_vendor"), joined(a.bitwiseAND(b)).alias("both"), (18 - F.bit_count(a.bitwiseOR(b))).alias("neither"),
         F.when(gap >= 20, "site_broader").when(gap <= -20, "vendor_broader").otherwise("balanced").alias("asymmetry"),
     )
 

@@ -217,3 +217,11 @@ def test_streams_of_groups_choose_as_the_rules_say(spark):
     got = evaluation.curate(f)
     assert got.columns == f.columns and "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.site, r.place) for r in got.collect()) == [(s, k) for s in (1, 2) for k in range(1, 9)]
+
+
+def test_pairs_are_compared_by_what_goes_with_them(spark):
+    plan = lambda q: registry.queries()[q](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan("coverage_diff") and "CartesianProduct" not in plan("coverage_diff")
+    assert "Join" not in plan("weak_components") and "Union" not in plan("bridge_flows")
+    assert patterns.spread(spark.read.parquet(f"{SF}/lineitem.parquet"), 1000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "source_text" not in "".join(x for x in plan("statement_sides").splitlines() if "Exchange hashpartitioning(policy" in x)
