@@ -225,3 +225,14 @@ def test_pairs_are_compared_by_what_goes_with_them(spark):
     assert "Join" not in plan("weak_components") and "Union" not in plan("bridge_flows")
     assert patterns.spread(spark.read.parquet(f"{SF}/lineitem.parquet"), 1000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert "source_text" not in "".join(x for x in plan("statement_sides").splitlines() if "Exchange hashpartitioning(policy" in x)
+
+
+def test_answers_are_joined_where_findings_are(spark):
+    plan = registry.queries()["verify_findings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "key#" in x]
+
+
+def test_the_gravest_findings_are_the_same_by_heads_and_by_ranking_all(spark, monkeypatch):
+    heads = registry.queries()["research_top"](spark, SF).collect()
+    monkeypatch.setattr(evaluation, "LEADING", 3)
+    assert sorted(registry.queries()["research_top"](spark, SF).collect()) == sorted(heads)
